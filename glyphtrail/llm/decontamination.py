@@ -2,7 +2,8 @@
 
 A document holds a benchmark item if one of its windows of the item's length in words is at least ``SIMILARITY`` like the
 item by weighted 5-word shingles: sum of weights of the shared shingles over the sum of all, repeats counted, a
-shingle's weight being log(1 + items / items that hold it). Words are those of the near-duplicate operator.
+shingle's weight being log(1 + items / items that hold it). Words are runs without
+white space, in lower case.
 
 Candidates: SimHash fingerprints of word windows. The window's size comes from the item's: the largest power of two up
 to 2/5 of its words, 16 at most. Every such window of an item is indexed, and the documents' windows are taken at a
@@ -28,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,9 +76,7 @@ class Index:
 
 def build(items: list[tuple]) -> Index:
     """An index of (item_id, text) rows."""
-    raws = [(t or "").encode("utf-8", "replace") for _, t in items]
-    offsets = np.concatenate(([0], np.cumsum([len(r) for r in raws]))).astype(np.int64)
-    words, at, _ = hash_words(np.frombuffer(b"".join(raws), np.uint8), offsets)
+    words, at, _ = hash_words(*utf8_views(pc.utf8_lower(pa.array([t for _, t in items], pa.string()))))
     shingles, sh_at = shingle_hashes(words, at, SHINGLE)
     grams = [Counter(shingles[a:b].tolist()) for a, b in zip(sh_at, sh_at[1:])]
     held = Counter(g for c in grams for g in c)
@@ -194,7 +194,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) ->
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for b in batches:
-                raw, offsets = utf8_views(b.column(1))
+                raw, offsets = utf8_views(pc.utf8_lower(b.column(1)))
                 rows = []
                 for lo, hi in slices(offsets, CHUNK):
                     rows += [(lo + t, k, s, v) for t, k, s, v in find(index, raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], least)]
