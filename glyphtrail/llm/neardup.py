@@ -2,15 +2,16 @@
 
 1. Each text's distinct 5-word shingles give a signature of ``SLOTS`` minima. Texts of equal sets form a class; from
    here on only a class's smallest doc_id is worked on, so copies cost one aggregated row.
-2. Signatures are split into ``CHUNKS`` chunks of ``WIDTH`` slots. By the pigeonhole principle two signatures that differ in
-   at most 2 * CHUNKS - 1 slots have a chunk with at most one differing slot; each chunk is entered once for each
-   slot left out (the allowed error), so all such pairs meet under a common key. (At a similarity of just 0.75
-   a pair has no common key with a probability of 2e-6.)
+2. The first ``KEYS`` slots are split into ``CHUNKS`` chunks of ``WIDTH``. By the pigeonhole principle two signatures that differ
+   there in at most 2 * CHUNKS - 1 slots have a chunk with at most one differing slot; each chunk is entered once for
+   each slot left out (the allowed error), so all such pairs meet under a common key. (At a similarity of just
+   0.75 a pair has no common key with a probability of 2e-6.)
 3. Each member of a key is paired with the key's smallest member only, and the pairs are confirmed: the sets' sizes
-   must satisfy 100 * shared >= 75 * all. The links give components.
-4. Keys that still hold several components are compared whole, in blocks of at most ``BLOCK`` members: pairs of
-   different components whose signatures differ in at most ``REACH`` slots are confirmed too. So no link between
-   different texts is lost to the stars of step 3, and a group of n near copies costs n pairs, not n^2.
+   must satisfy 100 * shared >= 75 * all. The links give components; most keys then hold a single one.
+4. Keys that still hold several components give a spanning forest of their members whose whole signatures differ in
+   at most ``REACH`` slots. What the forests connect is a block; within a block all sets of different components are
+   joined exactly, in the task, by their rarest members. So no link between different texts is lost to the stars of
+   step 3, and no pair is written but those that join components. Large keys and blocks are dealt in pairs of pieces.
 
 Confirmation streams the texts of the pairs, grouped by their first text and salted by ``PER_TASK`` pairs; the text of
 the corpus is shuffled once, to fetch the members' texts.
@@ -35,10 +36,13 @@ from .common import hash_words, materialize, mix64, shingle_hashes, slices, tabl
 from .components import components
 
 SHINGLE, CHUNKS, WIDTH = 5, 10, 4
-SLOTS = CHUNKS * WIDTH
-#: Step 4 looks at pairs that differ in at most this many slots; pairs of similarity 0.75 differ in 10 on average, with a deviation of 2.7.
-REACH = 26
-BLOCK, PER_TASK = 16_384, 5_000
+KEYS = CHUNKS * WIDTH
+#: Slots of a whole signature; the first KEYS of them are entered under keys.
+SLOTS = 64
+#: Signatures that differ in more slots are not compared. Pairs of similarity 0.75 differ in 16 on average, with a deviation of 3.5.
+REACH = 30
+#: Members of a key, pairs of a first text, and bytes of a block that one task reads (of the first and last, twice as many).
+BLOCK, PER_TASK, BLOCK_BYTES = 16_384, 5_000, 8 << 20
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 32, SLOTS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _RNG.integers(0, 1 << 32, SLOTS, dtype=np.uint64).astype(np.uint32)
@@ -90,7 +94,7 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)
-                s = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, CHUNKS, WIDTH).astype(np.uint64)
+                s = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, SLOTS)[:, :KEYS].reshape(-1, CHUNKS, WIDTH).astype(np.uint64)
                 keys = np.empty((len(s), CHUNKS, WIDTH), np.uint64)
                 for out in range(WIDTH):
                     h = np.arange(1, CHUNKS + 1, dtype=np.uint64)[None, :] * np.uint64(WIDTH) + np.uint64(out)
@@ -98,7 +102,7 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
                         if j != out:
                             h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + s[:, :, j])
                     keys[:, :, out] = h
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), SLOTS))], ["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), KEYS))], ["key", "id"])
 
     return classes.select("id", "signature").mapInArrow(run, "key long, id long")
 
@@ -133,57 +137,126 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b), a > b, of different components under one key that differ in at most REACH slots; ``members``: key, id, component, signature."""
+def candidate_forest(members: DataFrame) -> DataFrame:
+    """Edges (a, b) between components that span, under each key, the graph of members whose signatures differ in at most REACH slots; ``members``: key, id, component, signature."""
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component", "signature")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def within(ids: np.ndarray, comps: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right = [], []
-        step = max(1, (1 << 22) // (SLOTS * len(ids)))
-        for lo in range(0, len(ids), step):
-            differ = (signs[lo : lo + step, None, :] != signs[None, :, :]).sum(axis=2, dtype=np.uint8)
-            x, y = np.nonzero((differ <= REACH) & (comps[lo : lo + step, None] != comps[None, :]) & (ids[lo : lo + step, None] > ids[None, :]))
-            left.append(ids[lo + x])
-            right.append(ids[y])
-        return np.concatenate(left), np.concatenate(right)
+    rows = _block_pairs(members.join(sizes, "key"), ["key"], ["component", "signature"])
+
+    def spans(comps: np.ndarray, signs: np.ndarray) -> Iterator[tuple[int, int]]:
+        left = np.ones(len(comps), bool)
+        while left.any():
+            stack = [int(np.flatnonzero(left)[0])]
+            left[stack[0]] = False
+            while stack:
+                x = stack.pop()
+                rest = np.flatnonzero(left)
+                near = rest[(comps[rest] == comps[x]) | ((signs[rest] != signs[x]).sum(axis=1) <= REACH)]
+                left[near] = False
+                stack += near.tolist()
+                yield from ((max(comps[x], c), min(comps[x], c)) for c in set(comps[near].tolist()) if c != comps[x])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        done: set[tuple[int, int]] = set()
-
-        def flush(t: pa.Table, to: int) -> pa.RecordBatch:
-            key, i, j, ids, comps = (t.column(c).to_numpy()[:to] for c in ("key", "i", "j", "id", "component"))
-            signs = np.frombuffer(b"".join(t.column("signature").slice(0, to).to_pylist()), np.uint32).reshape(-1, SLOTS)
-            at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True])))
-            out = []
-            for lo, hi in zip(at, at[1:]):
-                if hi - lo > 1:
-                    out += zip(*(x.tolist() for x in within(ids[lo:hi], comps[lo:hi], signs[lo:hi])))
-            if len(done) > 200_000:
-                done.clear()
-            new = [p for p in dict.fromkeys(out) if p not in done]
-            done.update(new)
-            a, b = zip(*new) if new else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            key, i, j = (held.column(c).to_numpy() for c in ("key", "i", "j"))
-            to = int(np.flatnonzero((key == key[-1]) & (i == i[-1]) & (j == j[-1]))[0]) if len(key) else 0
-            if to:
-                yield flush(held, to)
-                held = held.slice(to)
-        if held is not None and held.num_rows:
-            yield flush(held, held.num_rows)
+        for t in _groups(batches, ["key", "i", "j"]):
+            comps = t.column("component").to_numpy()
+            if (comps != comps[0]).any():
+                signs = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(-1, SLOTS)
+                edges = sorted(set(spans(comps, signs)))
+                a, b = zip(*edges) if edges else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _block_pairs(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Rows (``by``, id, blocks) dealt so that any two of a group meet: every pair of the group's blocks is a group (``by``, i, j)."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(*by, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", *columns)
+    return rows.repartition(*by, "i", "j").sortWithinPartitions(*by, "i", "j", "id")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """The whole groups of sorted batches."""
+    held: list[pa.Table] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(c).to_numpy() for c in by]
+        new = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        new[0] = last is not None and tuple(c[0] for c in cols) != last
+        last = tuple(c[-1] for c in cols)
+        at = [*np.flatnonzero(new).tolist(), batch.num_rows]
+        t, lo = pa.Table.from_batches([batch]), 0
+        for k, hi in enumerate(at):
+            if hi > lo:
+                held.append(t.slice(lo, hi - lo))
+            if k < len(at) - 1 and held:
+                yield pa.concat_tables(held)
+                held = []
+            lo = hi
+    if held:
+        yield pa.concat_tables(held)
+
+
+def join_sets(sets: list[np.ndarray], comps: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of similar sets that join all components that any similar pair joins.
+
+    Exact: two similar sets share one of their rarest members, 1 + n - ceil(3n / 4) of n each, so only sets that do are compared.
+    """
+    sizes = np.array([len(s) for s in sets])
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rarity = np.empty(len(often), np.int64)
+    rarity[np.argsort(often, kind="stable")] = np.arange(len(often))
+    token = rarity[token]
+    index: dict[int, list[int]] = {}
+    mark = np.zeros(len(often), bool)
+    roots = comps.copy()
+    out = []
+    for x in range(len(sets)):
+        own = np.sort(token[at[x] : at[x + 1]])
+        n = len(own)
+        prefix = own[: 1 + n - (3 * n + 3) // 4].tolist()
+        seen = np.unique(np.array([y for t in prefix for y in index.get(t, ())], np.int64))
+        seen = seen[(roots[seen] != roots[x]) & (100 * np.minimum(sizes[seen], n) >= 75 * np.maximum(sizes[seen], n))]
+        mark[own] = True
+        for lo in range(0, len(seen), 256):
+            part = seen[lo : lo + 256]
+            part = part[roots[part] != roots[x]]
+            if not len(part):
+                continue
+            flat = mark[np.concatenate([token[at[y] : at[y + 1]] for y in part])]
+            shared = np.add.reduceat(flat.astype(np.int64), np.concatenate(([0], np.cumsum(sizes[part])[:-1])))
+            for y in part[100 * shared >= 75 * (sizes[part] + n - shared)].tolist():
+                if roots[y] != roots[x]:
+                    out.append((x, y))
+                    roots[roots == roots[y]] = roots[x]
+        mark[own] = False
+        for t in prefix:
+            index.setdefault(t, []).append(x)
+    return out
+
+
+def settle(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) between the components of each block; ``members``: block, id, component."""
+    rows = members.join(texts, "id")
+    sizes = rows.groupBy("block").agg(F.greatest(F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks"))
+    rows = _block_pairs(rows.join(sizes, "block"), ["block"], ["component", "text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, ["block", "i", "j"]):
+            raw, offsets = utf8_views(t.column("text"))
+            sets = [s for lo, hi in slices(offsets) for s in shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])]
+            ids = t.column("id").to_numpy()
+            pairs = join_sets(sets, t.column("component").to_numpy().copy())
+            yield pa.RecordBatch.from_arrays([pa.array([max(ids[x], ids[y]) for x, y in pairs], pa.int64()), pa.array([min(ids[x], ids[y]) for x, y in pairs], pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 @dataclass
 class Groups:
     #: doc_id, n_shingles, set_key of every row.
@@ -214,9 +287,12 @@ def group(docs: DataFrame) -> Groups:
     placed = members.join(found, members["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     mixed = placed.join(mixed, "key").join(classes.select("id", "signature"), "id")
-    pairs = cross_pairs(mixed).join(stars, ["a", "b"], "left_anti")
-    more = materialize(confirm(pairs, texts), "links")
-    if not more.isEmpty():
+    forest = materialize(candidate_forest(mixed), "forest")
+    if not forest.isEmpty():
+        blocks = components(forest).select(F.col("node").alias("component"), F.col("component").alias("block"))
+        own = found.select(F.col("node").alias("id"), "component").join(blocks, "component")
+        alone = blocks.join(found, "component", "left_anti").select(F.col("component").alias("id"), "component", "block")
+        more = materialize(settle(own.unionByName(alone.select("component", "id", "block")).select("block", "id", "component"), texts), "links")
         links = links.unionByName(more)
         found = materialize(components(links), "components")
     return Groups(rows.drop("signature"), classes.select("set_key", "id"), links, found)
