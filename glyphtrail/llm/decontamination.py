@@ -217,4 +217,4 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their columns."""
     held = matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").filter("doc_id is not null").distinct()
-    return docs.join(held, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(held.hint("merge"), "doc_id", "left_anti").select(docs.columns)

@@ -280,7 +280,7 @@ def group(docs: DataFrame) -> Groups:
     members = materialize(keyed.join(pivots, "key"), "members")
     stars = materialize(members.filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "stars")
     ids = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids.hint("merge"), "id", "left_semi")  # the ids grow with the corpus: shuffled at every size
     texts = materialize(texts, "texts")
     links = materialize(confirm(near_only(stars, classes), texts), "links")
     found = materialize(components(links), "components")
@@ -326,4 +326,4 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of ``docs`` that stand for their group: one row of each, the smallest doc_id's."""
     dropped = assign(group(docs)).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(docs.columns)

@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: tuple | None) -> DataFrame:
 def classify(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, shrunk_loss, threshold, trusted, keep for every row of ``docs``; ``trusted``: the doc_ids of trusted documents."""
     trusted = trusted.select("doc_id").filter("doc_id is not null").distinct()
-    scored = materialize(score(docs, train(docs.join(trusted, "doc_id", "left_semi").select(F.col("text").cast("string")))), "losses")
+    scored = materialize(score(docs, train(docs.join(trusted.hint("merge"), "doc_id", "left_semi").select(F.col("text").cast("string")))), "losses")
     rows = scored.join(trusted.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     known = rows.filter(F.col("trusted") & (F.col("n_symbols") > 0))
     mean = F.sum("loss") / F.sum("n_symbols")
@@ -227,4 +227,4 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with their columns."""
     bad = classify(docs, trusted_ids(spark, sf_dir)).filter(~F.col("keep")).select("doc_id").distinct()
-    return docs.join(bad.filter("doc_id is not null"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(bad.filter("doc_id is not null").hint("merge"), "doc_id", "left_anti").select(docs.columns)
