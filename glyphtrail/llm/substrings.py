@@ -36,6 +36,8 @@ LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM + 1
 HOT = 20_000
 BLOCK = 1 << 21
+#: Places of a fragment in one row.
+PLACES = 256
 #: A perfect difference set: every residue modulo PERIOD is a difference of two members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 _SHIFT = np.array([[next(d for d in range(PERIOD) if (i + d) % PERIOD in COVER and (j + d) % PERIOD in COVER) for j in range(PERIOD)] for i in range(PERIOD)])
@@ -202,7 +204,7 @@ def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rid, spans: the covered bytes that the repeated windows of each block of whole buckets give; batches come sorted by bucket."""
+    """rids, starts, lo, hi: the covered bytes lo to hi of a fragment and up to PLACES places where it starts; batches come sorted by bucket."""
     held: list[tuple] = []
     size = 0
 
@@ -229,13 +231,14 @@ def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = np.flatnonzero(new)
         tails = np.concatenate((heads[1:], [len(hit)])) - 1
         run_of, lo, hi = own[hit[heads]], at[hit[heads]] - begin[own[hit[heads]]], at[hit[tails]] - begin[own[hit[tails]]] + LENGTH
-        rid, a, b = [], [], []
+        rids, starts, los, his = [], [], [], []
         for f, x, y in zip(run_of.tolist(), lo.tolist(), hi.tolist()):
-            p = places[f]
-            rid.append(p[:, 0])
-            a.append(p[:, 1] + x)
-            b.append(p[:, 1] + y)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rid)), pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["rid", "lo", "hi"])
+            for k in range(0, len(places[f]), PLACES):
+                rids.append(places[f][k : k + PLACES, 0])
+                starts.append(places[f][k : k + PLACES, 1])
+                los.append(x)
+                his.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(rids, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int64())), pa.array(los, pa.int64()), pa.array(his, pa.int64())], ["rids", "starts", "lo", "hi"])
 
     for batch in batches:
         cols = [c.to_pylist() for c in batch.columns]
@@ -288,8 +291,12 @@ def cuts(docs: DataFrame) -> DataFrame:
     live = rows.join(often, "print").groupBy("rid").agg(F.collect_set("print").alias("live"), F.collect_set(F.when(F.col("times") > HOT, F.col("print"))).alias("hot"))
     found = materialize(texts.join(live, "rid"), "repeats")
     parts = found.mapInArrow(fragments, "bucket long, offset int, fragment binary, places binary")
-    spans = parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort_buckets, "rid long, lo long, hi long")
-    spans = materialize(spans, "spans").groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("s")).select("rid", "s.lo", "s.hi")
+    spans = parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort_buckets, "rids array<long>, starts array<long>, lo long, hi long")
+    # A fragment of many places is dealt out again before its places become rows.
+    spans = spans.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = F.explode(F.arrays_zip("rids", "starts")).alias("at")
+    spans = materialize(spans, "spans").select(at, "lo", "hi").select(F.col("at.rids").alias("rid"), (F.col("at.starts") + F.col("lo")).alias("lo"), (F.col("at.starts") + F.col("hi")).alias("hi"))
+    spans = spans.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("s")).select("rid", "s.lo", "s.hi")
     return found.select("rid", "text").dropDuplicates(["rid"]).join(spans, "rid").select("rid", "text", "lo", "hi").mapInArrow(cut_texts, "rid long, n_removed long, n_spans long, kept binary")
 
 
