@@ -127,7 +127,8 @@ def candidates(index: Index, words: np.ndarray, at: np.ndarray, shingles: np.nda
         first = np.clip(starts - at[text] - (1 if c < SHINGLE else 0), 0, None)
         seen = np.concatenate(([0], np.cumsum(known)))
         stop = np.minimum(sh_at[text] + np.maximum(starts - at[text] + max(1, c - SHINGLE + 1), 1), sh_at[text + 1])
-        near = seen[stop] > seen[np.minimum(sh_at[text] + first, stop)]
+        # Items of fewer words than a shingle have windows of one or two words, and share no shingle with longer texts.
+        near = (seen[stop] > seen[np.minimum(sh_at[text] + first, stop)]) | (c <= 2)
         for j, (begin, order) in enumerate(tables):
             key = ((fp >> np.uint64(j * _WIDTH)) & np.uint64((1 << _WIDTH) - 1)).astype(np.int64)
             lo, n = begin[key], begin[key + 1] - begin[key]
