@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import hash_words, materialize, mix64, shingle_hashes, slices, table, utf8_views
-from .components import components
+from .components import components, extended
 
 SHINGLE, CHUNKS, WIDTH = 5, 10, 4
 KEYS = CHUNKS * WIDTH
@@ -294,7 +294,7 @@ def group(docs: DataFrame) -> Groups:
         alone = blocks.join(found, "component", "left_anti").select(F.col("component").alias("id"), "component", "block")
         more = materialize(settle(own.unionByName(alone.select("component", "id", "block")).select("block", "id", "component"), texts), "links")
         links = links.unionByName(more)
-        found = materialize(components(links), "components")
+        found = materialize(extended(found, more), "components")
     return Groups(rows.drop("signature"), classes.select("set_key", "id"), links, found)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphtrail.llm import decontamination, fingerprints, html, langid, neardup, packing, quality, sharding, substrings, toxicity
 from glyphtrail.llm.common import hash_words
+from glyphtrail.llm.components import components, extended
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, id string, rid string, h string"
 WORDS = [a + b + c for a in ("ka", "lo", "mi", "re", "su", "ta") for b in ("n", "r", "st", "mm") for c in ("a", "e", "io", "u")]
@@ -336,3 +337,23 @@ def test_pipeline_stages_keep_the_columns(spark, tmp_path):
     kept = {r["doc_id"] for r in out.collect()}
     assert 3 not in kept and 40 not in kept and len(kept) >= 36
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "repeated_substrings", "decontamination", "packing"]
+
+
+@pytest.mark.parametrize("size", [0, 60])
+def test_components_match_union_find(spark, size):
+    rng = np.random.default_rng(3)
+    edges = [(int(x), int(y)) for x, y in rng.integers(0, 80, (size, 2)) if x != y] + [(100 + k, 101 + k) for k in range(12 if size else 0)]
+    old, new = edges[: len(edges) // 2], edges[len(edges) // 2 :]
+    schema = "a long, b long"
+
+    def least(links):
+        root = {x: x for link in links for x in link}
+        for _ in root:
+            for x, y in links:
+                root[x] = root[y] = min(root[x], root[y])
+        return root
+
+    found = components(spark.createDataFrame(edges + edges, schema))
+    assert sorted(map(tuple, found.collect())) == sorted(least(edges).items())
+    grown = extended(components(spark.createDataFrame(old, schema)), spark.createDataFrame(new, schema))
+    assert sorted(map(tuple, grown.collect())) == sorted(least(edges).items())
