@@ -282,7 +282,7 @@ def group(docs: DataFrame) -> Groups:
     ids = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids.hint("merge"), "id", "left_semi")  # the ids grow with the corpus: shuffled at every size
     texts = materialize(texts, "texts")
-    links = materialize(confirm(near_only(stars, classes), texts), "links")
+    links = materialize(confirm(materialize(near_only(stars, classes), "near"), texts), "links")
     found = materialize(components(links), "components")
     placed = members.join(found, members["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
