@@ -6,8 +6,9 @@ The suffixes that can matter are sorted in buckets, one bucket at a time:
    anchors at equal offsets. An anchor covers a run of windows, about 85. Anchors that occur once in the corpus
    can't hold a repeated window; counting the anchors (one narrow row each) finds the others. Nothing is lost.
 2. Documents with a repeated anchor send, for each, the bytes of its windows (a fragment) to the anchor's bucket.
-   Equal fragments are combined before the shuffle. An anchor that occurs more than ``HOT`` times is spread over
-   buckets by the content of its windows, so that no bucket gathers an unbounded group.
+   Fragments that are equal within a task are settled there: each place is a span, merged by document, and the bucket
+   gets one copy without places. An anchor that occurs more than ``HOT`` times is spread over buckets by the content of
+   its windows, so that no bucket gathers an unbounded group.
 3. A task reads its buckets in order, ``BLOCK`` bytes at a time: it sorts the window suffixes of that block by bucket,
    offset from the anchor and a key of their LENGTH bytes. Ties are resolved exactly by difference-cover ranks: the
    positions whose residues modulo ``PERIOD`` lie in ``COVER`` (so that any two positions have a common shift onto the
@@ -36,8 +37,10 @@ LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM + 1
 HOT = 20_000
 BLOCK = 1 << 21
-#: Places of a fragment in one row.
-PLACES = 256
+#: Bytes of distinct fragments and their places among which a task looks for equal ones before the shuffle, and spans that wait to be merged by document.
+SCOPE, WAITING = 8 << 20, 1 << 18
+#: The offset of rows that hold spans in place of a fragment.
+SETTLED = -1
 #: A perfect difference set: every residue modulo PERIOD is a difference of two members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 _SHIFT = np.array([[next(d for d in range(PERIOD) if (i + d) % PERIOD in COVER and (j + d) % PERIOD in COVER) for j in range(PERIOD)] for i in range(PERIOD)])
@@ -169,7 +172,10 @@ def count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """bucket, offset, fragment, places: each distinct fragment of a batch with the (rid, first byte) pairs where it occurs."""
+    """bucket, offset, fragment, places, copies: each distinct fragment of a scope of about SCOPE bytes of them, with the (rid, first byte)
+    where it occurs if that is one place; and, with the offset SETTLED, by document the spans of those that occur in several."""
+    rows: dict[tuple[int, int, bytes], list[int]] = {}
+    held = 0
     for b in batches:
         raw, offsets = utf8_views(b.column("text"))
         rid = b.column("rid").to_numpy()
@@ -195,61 +201,115 @@ def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first = start
                 content = rolling(own, LENGTH)[first].view(np.int64)
                 prints = np.where(spread, prints ^ content, prints)
-            rows: dict[tuple[int, int, bytes], list[int]] = {}
             data, begin = own.tobytes(), offsets[lo:hi] - base
             for p, o, s, e, t in zip(prints.tolist(), (at - first).tolist(), first.tolist(), last.tolist(), owner.tolist()):
-                rows.setdefault((p, o, data[s : e + LENGTH]), []).extend((int(rid[lo + t]), s - int(begin[t])))
-            keys = list(zip(*rows)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.int32()), pa.array(keys[2], pa.binary()), pa.array([np.array(v, np.int64).tobytes() for v in rows.values()], pa.binary())], ["bucket", "offset", "fragment", "places"])
+                places = rows.get(key := (p, o, data[s : e + LENGTH]))
+                if places is None:
+                    places = rows[key] = []
+                    held += len(key[2])
+                places += (int(rid[lo + t]), s - int(begin[t]))
+                held += 16
+            if held >= SCOPE:
+                yield from _ship(rows)
+                rows, held = {}, 0
+    yield from _ship(rows)
+
+
+def _ship(rows: dict[tuple[int, int, bytes], list[int]]) -> Iterator[pa.RecordBatch]:
+    """A scope's fragments, and the spans of those that occur twice in it: they are settled, and their bucket needs one copy without places."""
+    places, copies, known = [], [], []
+    for (_, _, fragment), at in rows.items():
+        copies.append(min(2, len(at) // 2))
+        if len(at) > 2:
+            known.append(np.array(at, np.int64).reshape(-1, 2)[:, [0, 1, 1]] + (0, 0, len(fragment)))
+        places.append(np.array(at if len(at) == 2 else (), np.int64).tobytes())
+    buckets, offset, fragment = (list(c) for c in (zip(*rows) if rows else ([], [], [])))
+    for rid, spans in _by_document(known):
+        buckets.append(rid)  # any bucket will do: these go by document
+        offset.append(SETTLED)
+        fragment.append(b"")
+        places.append(spans)
+        copies.append(0)
+    yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(offset, pa.int32()), pa.array(fragment, pa.binary()), pa.array(places, pa.binary()), pa.array(copies, pa.int32())], ["bucket", "offset", "fragment", "places", "copies"])
+
+
+def _by_document(parts: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """(rid, its merged spans as bytes) of arrays of (rid, lo, hi)."""
+    if parts:
+        rows = np.concatenate(parts)
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        cut = [0, *(np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1).tolist(), len(rows)]
+        for lo, hi in zip(cut, cut[1:]):
+            yield int(rows[lo, 0]), merge_spans(rows[lo:hi, 1:]).tobytes()
 
 
 def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rids, starts, lo, hi: the covered bytes lo to hi of a fragment and up to PLACES places where it starts; batches come sorted by bucket."""
-    held: list[tuple] = []
-    size = 0
-
-    def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        # Equal fragments of one bucket and offset become one with all places.
-        merged: dict[tuple, list[bytes]] = {}
-        for b, o, f, p in rows:
-            merged.setdefault((b, o, f), []).append(p)
-        keys = list(merged)
+    """rid, spans: covered bytes (lo, hi) of a document; batches come sorted by bucket.
+
+    Of a fragment that occurs twice every window is repeated, so its places become spans as they come; only those of
+    fragments seen once are held. A bucket therefore holds its distinct fragments, whatever the number of places.
+    """
+    held: dict[tuple[int, int, bytes], list] = {}  # copies, and the place of the only one
+    spans: list[np.ndarray] = []
+    size = waiting = 0
+    bucket = None
+
+    def flush() -> None:
+        if not held:
+            return
+        keys = list(held)
         buckets, offset = np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)
         lengths = np.array([len(k[2]) for k in keys], np.int64)
-        places = [np.frombuffer(b"".join(v), np.int64).reshape(-1, 2) for v in merged.values()]
-        copies = np.array([len(p) for p in places], np.int64)
+        copies = np.array([v[0] for v in held.values()], np.int64)
         text = np.frombuffer(b"".join(k[2] for k in keys), np.uint8)
         begin = np.cumsum(lengths) - lengths
         n = lengths - LENGTH + 1
         at = _ragged(begin, n)
         own = np.repeat(np.arange(len(keys)), n)
         found = repeated_windows(text, buckets[own], offset[own] - (at - begin[own]), at, copies[own])
-        hit = np.flatnonzero(found)
+        hit = np.flatnonzero(found & (copies[own] == 1))
         if not len(hit):
             return
         new = np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (own[hit[1:]] != own[hit[:-1]])))
         heads = np.flatnonzero(new)
         tails = np.concatenate((heads[1:], [len(hit)])) - 1
-        run_of, lo, hi = own[hit[heads]], at[hit[heads]] - begin[own[hit[heads]]], at[hit[tails]] - begin[own[hit[tails]]] + LENGTH
-        rids, starts, los, his = [], [], [], []
-        for f, x, y in zip(run_of.tolist(), lo.tolist(), hi.tolist()):
-            for k in range(0, len(places[f]), PLACES):
-                rids.append(places[f][k : k + PLACES, 0])
-                starts.append(places[f][k : k + PLACES, 1])
-                los.append(x)
-                his.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(rids, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int64())), pa.array(los, pa.int64()), pa.array(his, pa.int64())], ["rids", "starts", "lo", "hi"])
+        run_of = own[hit[heads]]
+        lo, hi = at[hit[heads]] - begin[run_of], at[hit[tails]] - begin[run_of] + LENGTH
+        place = np.frombuffer(b"".join(v[1] if v[0] == 1 else bytes(16) for v in held.values()), np.int64).reshape(-1, 2)[run_of]
+        spans.append(np.stack([place[:, 0], place[:, 1] + lo, place[:, 1] + hi], axis=1))
+
+    def out() -> pa.RecordBatch:
+        rows = list(_by_document(spans))
+        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], ["rid", "spans"])
 
     for batch in batches:
-        cols = [c.to_pylist() for c in batch.columns]
-        for row in zip(*cols):
-            if size >= BLOCK and row[0] != held[-1][0]:
-                yield from flush(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[2])
-    if held:
-        yield from flush(held)
+        for b, o, f, p, c in zip(*(column.to_pylist() for column in batch.columns)):
+            if o == SETTLED:
+                own = np.frombuffer(p, np.int64).reshape(-1, 2)
+                spans.append(np.column_stack([np.full(len(own), b), own]))
+                waiting += len(own)
+            else:
+                if size >= BLOCK and b != bucket:
+                    flush()
+                    held, size = {}, 0
+                bucket = b
+                before = held.get((b, o, f))
+                if before is None:
+                    held[b, o, f] = [c, p]
+                    size += len(f)
+                else:
+                    for place in (before[1], p):
+                        if place:
+                            rid, start = np.frombuffer(place, np.int64).tolist()
+                            spans.append(np.array([[rid, start, start + len(f)]], np.int64))
+                            waiting += 1
+                    before[:] = 2, b""
+            if waiting >= WAITING:
+                yield out()
+                spans, waiting = [], 0
+    flush()
+    if spans:
+        yield out()
 
 
 def merge_spans(spans: np.ndarray) -> np.ndarray:
@@ -264,11 +324,11 @@ def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """rid, n_removed, n_spans, kept: what is left of each text without its spans, as bytes."""
     for b in batches:
         raw, offsets = utf8_views(b.column("text"))
-        lo, hi = (c.to_pylist() for c in (b.column("lo"), b.column("hi")))
+        found = b.column("spans").to_pylist()
         removed, n_spans, kept = [], [], []
         for i in range(b.num_rows):
             own = raw[offsets[i] : offsets[i + 1]]
-            spans = merge_spans(np.stack([np.array(lo[i], np.int64), np.array(hi[i], np.int64)], axis=1))
+            spans = merge_spans(np.frombuffer(b"".join(found[i]), np.int64).reshape(-1, 2))
             left = np.ones(len(own), bool)
             for x, y in spans.tolist():
                 left[x:y] = False
@@ -290,14 +350,10 @@ def cuts(docs: DataFrame) -> DataFrame:
     often = rows.groupBy("print").agg(F.sum("n").alias("times")).filter("times > 1")
     live = rows.join(often, "print").groupBy("rid").agg(F.collect_set("print").alias("live"), F.collect_set(F.when(F.col("times") > HOT, F.col("print"))).alias("hot"))
     found = materialize(texts.join(live, "rid"), "repeats")
-    parts = found.mapInArrow(fragments, "bucket long, offset int, fragment binary, places binary")
-    spans = parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort_buckets, "rids array<long>, starts array<long>, lo long, hi long")
-    # A fragment of many places is dealt out again before its places become rows.
-    spans = spans.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    at = F.explode(F.arrays_zip("rids", "starts")).alias("at")
-    spans = materialize(spans, "spans").select(at, "lo", "hi").select(F.col("at.rids").alias("rid"), (F.col("at.starts") + F.col("lo")).alias("lo"), (F.col("at.starts") + F.col("hi")).alias("hi"))
-    spans = spans.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("s")).select("rid", "s.lo", "s.hi")
-    return found.select("rid", "text").dropDuplicates(["rid"]).join(spans, "rid").select("rid", "text", "lo", "hi").mapInArrow(cut_texts, "rid long, n_removed long, n_spans long, kept binary")
+    parts = found.mapInArrow(fragments, "bucket long, offset int, fragment binary, places binary, copies int")
+    spans = parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort_buckets, "rid long, spans binary")
+    spans = spans.groupBy("rid").agg(F.collect_list("spans").alias("spans"))
+    return found.select("rid", "text").dropDuplicates(["rid"]).join(spans, "rid").select("rid", "text", "spans").mapInArrow(cut_texts, "rid long, n_removed long, n_spans long, kept binary")
 
 
 def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +212,30 @@ def test_repeated_substrings_match_brute_force(spark, monkeypatch, hot):
         assert (r["n_removed"] if r else 0) == len(raw) - len(want)
 
 
+@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("scope", [1, 3000, 8 << 20])
+@pytest.mark.parametrize("waiting", [1, 1 << 18])
+def test_substrings_are_the_same_for_every_scope(monkeypatch, hot, scope, waiting):
+    monkeypatch.setattr(substrings, "SCOPE", scope)
+    monkeypatch.setattr(substrings, "WAITING", waiting)
+    monkeypatch.setattr(substrings, "BLOCK", 4000)
+    shared = text(50, 80)
+    texts = ["a" * 450, text(60, 90), *(f"{text(70 + i, 20)} {shared} {text(90 + i, 20)}" for i in range(9)), text(60, 90), (text(51, 40) + "\n") * 4, shared[:230], "é" * 150]
+    raws, left = brute_cuts(texts)
+    prints = [substrings.anchors(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[2].view(np.int64).tolist() for b in raws]
+    table = pa.table({"rid": pa.array(range(len(texts)), pa.int64()), "text": texts, "live": prints, "hot": prints if hot else [[]] * len(texts)})
+    parts = pa.Table.from_batches(b for at in range(0, len(texts), 5) for b in substrings.fragments(iter(table.slice(at, 5).to_batches())))
+    spans = collections.defaultdict(list)
+    for b in substrings.sort_buckets(iter(parts.sort_by("bucket").to_batches(max_chunksize=7))):
+        for rid, found in zip(b.column("rid").to_pylist(), b.column("spans").to_pylist()):
+            spans[rid].append(np.frombuffer(found, np.int64).reshape(-1, 2))
+    for rid, (raw, want) in enumerate(zip(raws, left)):
+        keep = np.ones(len(raw), bool)
+        for lo, hi in np.concatenate(spans.get(rid, [np.zeros((0, 2), np.int64)])).tolist():
+            keep[lo:hi] = False
+        assert bytes(np.frombuffer(raw, np.uint8)[keep]) == want
+
+
 def test_repeated_rows_and_empty_tables_of_substrings(spark, odd, none):
     out = substrings.without_repeats(spark, odd, "")
     assert out.columns == odd.columns and out.count() == 11
