@@ -24,6 +24,7 @@ Edge cases: null texts are empty; texts shorter than LENGTH keep everything; ove
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,7 @@ BLOCK = 1 << 21
 SCOPE, WAITING = 8 << 20, 1 << 18
 #: The offset of rows that hold spans in place of a fragment.
 SETTLED = -1
+_PLACE = struct.Struct("=qq")
 #: A perfect difference set: every residue modulo PERIOD is a difference of two members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 _SHIFT = np.array([[next(d for d in range(PERIOD) if (i + d) % PERIOD in COVER and (j + d) % PERIOD in COVER) for j in range(PERIOD)] for i in range(PERIOD)])
@@ -235,8 +237,8 @@ def _ship(rows: dict[tuple[int, int, bytes], list[int]]) -> Iterator[pa.RecordBa
 
 def _by_document(parts: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
     """(rid, its merged spans as bytes) of arrays of (rid, lo, hi)."""
-    if parts:
-        rows = np.concatenate(parts)
+    rows = np.concatenate(parts) if parts else ()
+    if len(rows):
         rows = rows[np.argsort(rows[:, 0], kind="stable")]
         cut = [0, *(np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1).tolist(), len(rows)]
         for lo, hi in zip(cut, cut[1:]):
@@ -249,66 +251,80 @@ def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Of a fragment that occurs twice every window is repeated, so its places become spans as they come; only those of
     fragments seen once are held. A bucket therefore holds its distinct fragments, whatever the number of places.
     """
-    held: dict[tuple[int, int, bytes], list] = {}  # copies, and the place of the only one
-    spans: list[np.ndarray] = []
+    own: dict[tuple[int, bytes], list] = {}  # of the bucket: copies, and the place of the only one
+    held: list[tuple[int, int, bytes, int, bytes]] = []  # of earlier buckets: the same, with the bucket and the offset
+    places: list[int] = []  # rid, lo, hi one after another
+    settled: list[tuple[int, bytes]] = []
     size = waiting = 0
     bucket = None
 
+    def close() -> int:
+        """Hold the bucket if it has fragments seen once and others that they may share windows with; the bytes held."""
+        if len(own) < 2 or all(c > 1 for c, _ in own.values()):
+            return 0
+        held.extend((bucket, o, f, c, p) for (o, f), (c, p) in own.items())
+        return sum(len(f) for _, f in own)
+
     def flush() -> None:
         if not held:
             return
-        keys = list(held)
-        buckets, offset = np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)
-        lengths = np.array([len(k[2]) for k in keys], np.int64)
-        copies = np.array([v[0] for v in held.values()], np.int64)
-        text = np.frombuffer(b"".join(k[2] for k in keys), np.uint8)
+        buckets, offset, fragment, copies, place = zip(*held)
+        buckets, offset, copies = np.array(buckets, np.int64), np.array(offset, np.int64), np.array(copies, np.int64)
+        lengths = np.array([len(f) for f in fragment], np.int64)
+        text = np.frombuffer(b"".join(fragment), np.uint8)
         begin = np.cumsum(lengths) - lengths
         n = lengths - LENGTH + 1
         at = _ragged(begin, n)
-        own = np.repeat(np.arange(len(keys)), n)
-        found = repeated_windows(text, buckets[own], offset[own] - (at - begin[own]), at, copies[own])
-        hit = np.flatnonzero(found & (copies[own] == 1))
+        of = np.repeat(np.arange(len(held)), n)
+        found = repeated_windows(text, buckets[of], offset[of] - (at - begin[of]), at, copies[of])
+        hit = np.flatnonzero(found & (copies[of] == 1))
         if not len(hit):
             return
-        new = np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (own[hit[1:]] != own[hit[:-1]])))
+        new = np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (of[hit[1:]] != of[hit[:-1]])))
         heads = np.flatnonzero(new)
         tails = np.concatenate((heads[1:], [len(hit)])) - 1
-        run_of = own[hit[heads]]
+        run_of = of[hit[heads]]
         lo, hi = at[hit[heads]] - begin[run_of], at[hit[tails]] - begin[run_of] + LENGTH
-        place = np.frombuffer(b"".join(v[1] if v[0] == 1 else bytes(16) for v in held.values()), np.int64).reshape(-1, 2)[run_of]
-        spans.append(np.stack([place[:, 0], place[:, 1] + lo, place[:, 1] + hi], axis=1))
+        only = np.frombuffer(b"".join(p or bytes(16) for p in place), np.int64).reshape(-1, 2)[run_of]
+        places.extend(np.stack([only[:, 0], only[:, 1] + lo, only[:, 1] + hi], axis=1).ravel().tolist())
 
     def out() -> pa.RecordBatch:
-        rows = list(_by_document(spans))
+        parts = [np.array(places, np.int64).reshape(-1, 3)]
+        if settled:
+            rid, spans = zip(*settled)
+            parts.append(np.column_stack([np.repeat(np.array(rid, np.int64), [len(s) // 16 for s in spans]), np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2)]))
+        rows = list(_by_document(parts))
         return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], ["rid", "spans"])
 
     for batch in batches:
         for b, o, f, p, c in zip(*(column.to_pylist() for column in batch.columns)):
             if o == SETTLED:
-                own = np.frombuffer(p, np.int64).reshape(-1, 2)
-                spans.append(np.column_stack([np.full(len(own), b), own]))
-                waiting += len(own)
+                settled.append((b, p))
+                waiting += len(p) // 16
             else:
-                if size >= BLOCK and b != bucket:
-                    flush()
-                    held, size = {}, 0
-                bucket = b
-                before = held.get((b, o, f))
+                if b != bucket:
+                    size += close()
+                    own = {}
+                    if size >= BLOCK:
+                        flush()
+                        held, size = [], 0
+                    bucket = b
+                before = own.get((o, f))
                 if before is None:
-                    held[b, o, f] = [c, p]
-                    size += len(f)
+                    own[o, f] = [c, p]
                 else:
                     for place in (before[1], p):
                         if place:
-                            rid, start = np.frombuffer(place, np.int64).tolist()
-                            spans.append(np.array([[rid, start, start + len(f)]], np.int64))
+                            rid, start = _PLACE.unpack(place)
+                            places += (rid, start, start + len(f))
                             waiting += 1
                     before[:] = 2, b""
             if waiting >= WAITING:
                 yield out()
-                spans, waiting = [], 0
+                places, settled, waiting = [], [], 0
+    close()
     flush()
-    if spans:
+    if places or settled:
         yield out()
 
 
