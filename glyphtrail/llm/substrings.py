@@ -359,8 +359,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("rid", F.xxhash64("doc_id", "text"))
 
 
-def cuts(docs: DataFrame) -> DataFrame:
-    """rid, n_removed, n_spans, kept (binary) of the texts of ``docs`` (rid, text) that lose bytes; one row a rid."""
+def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The texts (rid, text) of ``docs`` that may lose bytes, and rid, spans of those that do; one row a rid."""
     texts = docs.select("rid", F.col("text").cast("string").alias("text"))
     rows = texts.mapInArrow(count_anchors, "print long, rid long, n int").repartition("print")
     often = rows.groupBy("print").agg(F.sum("n").alias("times")).filter("times > 1")
@@ -368,7 +368,12 @@ def cuts(docs: DataFrame) -> DataFrame:
     found = materialize(texts.join(live, "rid"), "repeats")
     parts = found.mapInArrow(fragments, "bucket long, offset int, fragment binary, places binary, copies int")
     spans = parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort_buckets, "rid long, spans binary")
-    spans = spans.groupBy("rid").agg(F.collect_list("spans").alias("spans"))
+    return found, spans.groupBy("rid").agg(F.collect_list("spans").alias("spans"))
+
+
+def cuts(docs: DataFrame) -> DataFrame:
+    """rid, n_removed, n_spans, kept (binary) of the texts of ``docs`` (rid, text) that lose bytes; one row a rid."""
+    found, spans = repeats(docs)
     return found.select("rid", "text").dropDuplicates(["rid"]).join(spans, "rid").select("rid", "text", "spans").mapInArrow(cut_texts, "rid long, n_removed long, n_spans long, kept binary")
 
 
@@ -381,16 +386,26 @@ def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
 
 
+def _cut(text: str | None, spans: list[bytes] | None) -> str | None:
+    if text is None or spans is None:
+        return text
+    raw, at, left = text.encode(), 0, []
+    for lo, hi in merge_spans(np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2)).tolist():
+        left.append(raw[at:lo])
+        at = hi
+    return b"".join([*left, raw[at:]]).decode("utf-8", "ignore")
+
+
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` with the repeated bytes cut from their texts; what remains of a character cut in two is dropped.
 
     n_chars, where there is one, counts the new text.
     """
-    rows = keyed(docs)
-    changed = cuts(rows.select("rid", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))).select(F.col("rid").alias("_rid"), "kept")
-    clean = F.udf(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"), "string", useArrow=True)
-    out = rows.join(changed, F.col("rid") == F.col("_rid"), "left")
-    new = F.when(F.col("kept").isNotNull(), clean("kept")).otherwise(F.col("text"))
-    out = out.withColumn("_text", new)
+    rows = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
+    # The spans alone go to the documents: no text is shuffled but with its row.
+    _, spans = repeats(rows.select(F.col("_rid").alias("rid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    cut = F.udf(_cut, "string", useArrow=True)
+    out = rows.join(spans.select(F.col("rid").alias("_rid"), F.col("spans").alias("_spans")), "_rid", "left")
+    out = out.withColumn("_text", F.when(F.col("_spans").isNotNull(), cut(F.col("text").cast("string"), "_spans")).otherwise(F.col("text")))
     columns = [F.col("_text").alias("text") if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*columns)

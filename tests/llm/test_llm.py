@@ -241,6 +241,9 @@ def test_repeated_rows_and_empty_tables_of_substrings(spark, odd, none):
     assert out.columns == odd.columns and out.count() == 11
     assert {r["text"] for r in out.filter("doc_id in (4, 5, 8)").collect()} == {""}
     assert substrings.without_repeats(spark, none, "").count() == 0
+    clash = odd.withColumn("rid", F.lit(1)).withColumn("spans", F.lit("x"))
+    again = substrings.without_repeats(spark, clash, "")
+    assert again.columns == clash.columns and {(r["rid"], r["spans"]) for r in again.collect()} == {(1, "x")}
 
 
 def test_cover_joins_any_two_positions():
