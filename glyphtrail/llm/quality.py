@@ -1,17 +1,23 @@
 """Quality by the perplexity of an n-gram language model.
 
-An interpolated modified Kneser-Ney model of characters (order 4) is trained on trusted text, the documents that
-``labels`` marks as good. Code points map to 127 symbols by a fixed rule, so every table below has a size that the
-rule bounds, whatever the corpus holds; the counts cover all trusted text.
-
-* Counting: each partition sums its 4-grams, the sums are shuffled by 4-gram. Continuation counts of the lower
-  orders come from the distinct 4-grams, counts of counts give the three discounts of each order.
-* Sharded count joins: discounted counts join their context's totals, context by context; contexts are dealt over
-  shards of at most ``SHARD_CONTEXTS`` contexts (one here), and each document's log-probabilities are summed shard by
-  shard. A shard is a broadcast of at most ``SHARD_CONTEXTS`` * 512 bytes, and there are at most 127^3 contexts.
-* Threshold: the mean log-loss of a document, shrunk towards its language's mean by ``PRIOR`` characters (short texts
+A model of word bigrams is counted over all trusted text, the documents that ``labels`` marks as good. A word is a run of
+other characters than white space and controls; a bigram's probability is (c(vw) + BIGRAM * P(w)) / (c(v) + BIGRAM), a
+word's is (c(w) + WORD * Q(w)) / (N + WORD) (hierarchical Dirichlet smoothing), and Q, for words that no trusted text
+holds, is an interpolated modified Kneser-Ney model of characters (order 4).
+
+* Sharded count joins: documents are dealt over chunks of about ``CHUNK_BYTES`` by doc_id. Each chunk sends every distinct
+  word and bigram once, with its count in the chunk's trusted documents, to the shard of its hash; the shard sums the
+  counts of all chunks and answers each in the order it asked. Both tables grow with the corpus; nothing of them goes to the
+  driver, and a frequent word is one entry a chunk. Keys are hashes of 48 bits.
+* A trusted document is scored without its own counts, as if the words had been counted over all others.
+* The character model's code points map to 127 symbols by a fixed rule, so its size is bounded and it is broadcast. Each
+  partition sums its 4-grams, the sums are shuffled by 4-gram. Continuation counts of the lower orders come from
+  the distinct 4-grams, counts of counts give the three discounts of each order. It has seen the trusted document itself.
+  Contexts are dealt over shards of at most ``SHARD_CONTEXTS`` contexts (one here), at most 127^3 in all.
+* Threshold: the mean log-loss of a character, shrunk towards its language's mean by ``PRIOR`` characters (short texts
   are noisy), is held against its language's quantile over trusted documents, widened by ``MARGIN`` times its distance from the
-  median. Languages with fewer than ``LEAST_TRUSTED`` trusted documents use the quantile over all.
+  median, once by words and once by the character model alone; a document is kept within both. Languages with fewer
+  than ``LEAST_TRUSTED`` trusted documents use the quantiles over all.
 
 Edge cases: null and empty texts have no perplexity and are not kept; without trusted text everything else is
 kept, with a null threshold; a null language is a language of its own; a repeated doc_id is trusted or not as one and
@@ -25,14 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table, utf8_views
+from .common import _ODD, _powers, materialize, mix64, slices, table, utf8_views
 from .langid import decode_utf8
 
 ORDER, SYMBOLS, BITS = 4, 127, 7
 SHARD_CONTEXTS = 1 << 17
+#: Text of a chunk and of a shard's share, and the weights of the lower orders.
+CHUNK_BYTES, SHARE_BYTES, BIGRAM, WORD = 2 << 20, 8 << 20, 20.0, 200.0
+KEY_BITS = 48
 QUANTILE, MARGIN, PRIOR, LEAST_TRUSTED = 0.95, 3.0, 100.0, 20
 
 
@@ -189,30 +199,205 @@ def score(docs: DataFrame, model: tuple | None) -> DataFrame:
     return rows
 
 
+def character_logs(raw: np.ndarray, offsets: np.ndarray, lower: np.ndarray, shards: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """log P of every character under the character model, and the texts' offsets."""
+    logs, ats = [], [np.zeros(1, np.int64)]
+    for lo, hi in slices(offsets):
+        c, s, at = contexts_and_symbols(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        out = lower[((c & 0x3FFF) << BITS) | s].astype(np.float64)
+        for index, p4 in shards:
+            row = index[c]
+            out = np.where(row >= 0, p4.ravel()[np.maximum(row, 0) * 128 + s], out)
+        logs.append(out)
+        ats.append(at[1:] + ats[-1][-1])
+    return np.concatenate([np.zeros(0), *logs]), np.concatenate(ats)
+
+
+def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of each text's words, the texts' offsets in them, each word's first character, the texts' offsets in characters."""
+    points, at = decode_utf8(raw, offsets)
+    n = len(points)
+    if n == 0:
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64), np.zeros(0, np.int64), at
+    inside = points > 32
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    edges = at[(at > 0) & (at < n)]
+    first[edges], last[edges - 1] = inside[edges], inside[edges - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    up, down = _powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+    h = mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return h, np.searchsorted(starts, at), starts, at
+
+
+#: The keys that count all words and the texts' begins.
+ALL_WORDS, BEGIN = 0, 1
+
+
+class Chunk:
+    """The rows of one chunk: what it asks of the shards, and its texts' losses from the answers."""
+
+    def __init__(self, texts: pa.Array, trusted: np.ndarray):
+        self.raw, self.offsets = utf8_views(texts)
+        h, self.at, self.starts, self.chars = words_of(self.raw, self.offsets)
+        self.trusted, n = trusted, len(h)
+        self.row = np.repeat(np.arange(len(trusted)), np.diff(self.at))
+        self.full = np.flatnonzero(np.diff(self.at) > 0)
+        before = np.zeros(n, np.uint64)
+        before[1:] = h[:-1]
+        before[self.at[:-1][self.full]] = BEGIN
+        cut, least = np.uint64(64 - KEY_BITS), np.uint64(2)
+        words, word = np.unique(np.maximum(mix64(h ^ _ODD) >> cut, least), return_inverse=True)
+        pairs, pair = np.unique(np.maximum(mix64(before * _ODD + h) >> cut, least), return_inverse=True)
+        every = np.concatenate((np.array([ALL_WORDS, BEGIN], np.uint64), words, pairs))
+        self.keys, where = np.unique(every, return_inverse=True)
+        self.word, self.pair = where[2 + word], where[2 + len(words) + pair]
+        mine = trusted[self.row]
+        self.counts = np.bincount(self.word[mine], minlength=len(self.keys)) + np.bincount(self.pair[mine], minlength=len(self.keys))
+        self.counts[[ALL_WORDS, BEGIN]] = mine.sum(), trusted[self.full].sum()
+
+    def previous(self, x: np.ndarray, first: int) -> np.ndarray:
+        """``x`` of the word before each word, ``first`` where a text begins."""
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[self.at[:-1][self.full]] = first
+        return out
+
+    def own(self, places: np.ndarray) -> np.ndarray:
+        """How often each word's entry occurs in its text, 0 in a text that isn't trusted."""
+        out, mine = np.zeros(len(places), np.int64), np.flatnonzero(self.trusted[self.row])
+        _, inverse, times = np.unique(self.row[mine] * len(self.keys) + places[mine], return_inverse=True, return_counts=True)
+        out[mine] = times[inverse]
+        return out
+
+    def losses(self, total: np.ndarray, lower: np.ndarray, shards: list) -> tuple[np.ndarray, np.ndarray]:
+        """-log P of each text by words, given the counts of ``keys`` over all trusted text, and by characters alone."""
+        logs, at = character_logs(self.raw, self.offsets, lower, shards)
+        sums = np.concatenate(([0.0], np.cumsum(logs)))
+        # A word's characters include the white space up to the next; what comes before a text's first word is its own.
+        ends = np.append(self.starts[1:], len(logs))[: len(self.starts)]
+        ends[self.at[1:][self.full] - 1] = at[1:][self.full]
+        base = sums[ends] - sums[self.starts]
+        firsts = at[1:].copy()
+        firsts[self.full] = self.starts[self.at[:-1][self.full]]
+        # A trusted text's own occurrences are taken off.
+        own = self.own(self.word)
+        one = total[self.word] - own
+        two = total[self.pair] - self.own(self.pair)
+        before = self.previous(total[self.word], total[BEGIN]) - self.previous(own, 1) * self.trusted[self.row]
+        everything = (total[ALL_WORDS] - np.diff(self.at) * self.trusted)[self.row]
+        p = (one + WORD * np.exp(base)) / (everything + WORD)
+        p = (two + BIGRAM * p) / (before + BIGRAM)
+        # Where a very long word's characters underflow: the weights of the lower orders times Q, in logarithms.
+        deep = base + math.log(BIGRAM * WORD) - np.log(before + BIGRAM) - np.log(everything + WORD)
+        loss = np.bincount(self.row, np.where(p > 1e-290, np.log(np.maximum(p, 1e-290)), deep), len(self.trusted))
+        return -(loss + sums[firsts] - sums[at[:-1]]), sums[at[:-1]] - sums[at[1:]]
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers by byte planes, high ones first, which compress when the numbers are small."""
+    return np.ascontiguousarray(x.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.int64)
+
+
+def word_losses(docs: DataFrame, trusted: DataFrame, model: tuple) -> DataFrame:
+    """doc_id, lang, trusted, n_symbols, loss and char_loss (-log P by words, by characters) of every row of ``docs``; ``model``: the characters'."""
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", "lang")}
+    rows = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    chunks = max(1, math.ceil(size / CHUNK_BYTES))
+    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks))
+    rows = rows.withColumn("chunk", F.when(F.col("doc_id").isNull(), deal(F.col("text"))).otherwise(deal(F.col("doc_id").cast("string"))))
+    ids = trusted.select(deal(F.col("doc_id").cast("string")).alias("chunk"), F.col("doc_id").cast(kinds["doc_id"]).alias("id"))
+    context = docs.sparkSession.sparkContext
+    lower, shards = context.broadcast(model[0].ravel()), [context.broadcast(s) for s in model[1]]
+    number = max(1, math.ceil(size / SHARE_BYTES))
+    context._jvm.System.gc()  # releases what the character model's joins have shuffled
+
+    def chunk_of(left: pa.Table, right: pa.Table) -> Chunk:
+        good = right.column("id").combine_chunks().drop_null()
+        return Chunk(left.column("text").combine_chunks(), pc.is_in(left.column("doc_id").combine_chunks(), good, skip_nulls=True).to_numpy(zero_copy_only=False))
+
+    def spans(keys: np.ndarray) -> np.ndarray:
+        bounds = np.array([(i << KEY_BITS) // number for i in range(1, number)], np.uint64)
+        return np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)]))
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["chunk", "shard", "keys", "counts"]
+        if not left.num_rows:
+            return pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())], names)
+        c = chunk_of(left, right)
+        at, me = spans(c.keys), left.column("chunk")[0].as_py()
+        use = [i for i in range(number) if at[i] < at[i + 1]]
+        keys = [_packed(np.diff(c.keys[at[i] : at[i + 1]], prepend=np.uint64(0))) for i in use]
+        counts = [_packed(c.counts[at[i] : at[i + 1]]) for i in use]
+        return pa.Table.from_arrays([pa.array([me] * len(use), pa.int64()), pa.array(use, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names)
+
+    def answer(asked: pa.Table) -> pa.Table:
+        keys = [np.cumsum(_unpacked(k.as_py())) for k in asked.column("keys")]
+        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.zeros(int(inverse.max()) + 1, np.int64)
+        np.add.at(sums, inverse, np.concatenate([_unpacked(c.as_py()) for c in asked.column("counts")]))
+        at = np.cumsum([0, *map(len, keys)])
+        found = [_packed(sums[inverse[lo:hi]]) for lo, hi in zip(at[:-1], at[1:])]
+        return pa.Table.from_arrays([asked.column("chunk").combine_chunks(), asked.column("shard").combine_chunks(), pa.array(found, pa.binary())], ["chunk", "shard", "sums"])
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["doc_id", "lang", "trusted", "n_symbols", "loss", "char_loss"]
+        if not left.num_rows:
+            kept = [left.column(0).combine_chunks(), left.column(1).combine_chunks()]
+            return pa.Table.from_arrays([*kept, pa.array([], pa.bool_()), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.float64())], names)
+        c = chunk_of(left, right)
+        replies = right.filter(pc.is_valid(right.column("sums"))).sort_by("shard")
+        total = np.concatenate([_unpacked(x.as_py()) for x in replies.column("sums")])
+        loss, char_loss = c.losses(total, lower.value, [s.value for s in shards])
+        return pa.Table.from_arrays([left.column(0).combine_chunks(), left.column(1).combine_chunks(), pa.array(c.trusted), pa.array(np.diff(c.chars)), pa.array(loss), pa.array(char_loss)], names)
+
+    by = lambda t: t.groupBy("chunk")
+    asked = by(rows).cogroup(by(ids)).applyInArrow(ask, "chunk long, shard long, keys binary, counts binary")
+    answers = asked.groupBy("shard").applyInArrow(answer, "chunk long, shard long, sums binary")
+    right = ids.withColumn("shard", F.lit(None).cast("long")).withColumn("sums", F.lit(None).cast("binary")).unionByName(answers.withColumn("id", F.lit(None).cast(kinds["doc_id"])))
+    return by(rows).cogroup(by(right)).applyInArrow(finish, f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, trusted boolean, n_symbols long, loss double, char_loss double")
+
+
 def classify(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, shrunk_loss, threshold, trusted, keep for every row of ``docs``; ``trusted``: the doc_ids of trusted documents."""
+    """doc_id, lang, n_symbols, perplexity, shrunk_loss, threshold, char_loss, char_threshold, trusted, keep for every row of ``docs``; ``trusted``: the doc_ids of trusted documents."""
     trusted = trusted.select("doc_id").filter("doc_id is not null").distinct()
-    scored = materialize(score(docs, train(docs.join(trusted.hint("merge"), "doc_id", "left_semi").select(F.col("text").cast("string")))), "losses")
-    rows = scored.join(trusted.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    model = train(docs.join(trusted.hint("merge"), "doc_id", "left_semi").select(F.col("text").cast("string")))
+    if model is None:
+        rows = score(docs, None).withColumns({"trusted": F.lit(False), "char_loss": F.col("loss")})
+    else:
+        rows = materialize(word_losses(docs, trusted, model), "losses")
+    kinds = {"shrunk_loss": "loss", "char_loss": "char_loss"}
     known = rows.filter(F.col("trusted") & (F.col("n_symbols") > 0))
-    mean = F.sum("loss") / F.sum("n_symbols")
-    means = known.groupBy("lang").agg(mean.alias("m"), F.count(F.lit(1)).alias("of"))
-    rows = rows.crossJoin(F.broadcast(known.agg(mean.alias("m_all"))))  # one row
+    mean = lambda c: F.sum(c) / F.sum("n_symbols")
+    means = known.groupBy("lang").agg(*[mean(c).alias(f"m_{k}") for k, c in kinds.items()], F.count(F.lit(1)).alias("of"))
+    rows = rows.crossJoin(F.broadcast(known.agg(*[mean(c).alias(f"all_{k}") for k, c in kinds.items()])))  # one row
     rows = rows.join(means, rows["lang"].eqNullSafe(means["lang"]), "left").drop(means["lang"])
-    own = F.coalesce(F.col("of"), F.lit(0)) >= LEAST_TRUSTED
-    m = F.when(own, F.col("m")).otherwise(F.col("m_all"))
-    rows = rows.withColumn("own", own).withColumn("shrunk_loss", F.when(F.col("n_symbols") > 0, (F.col("loss") + PRIOR * m) / (F.col("n_symbols") + PRIOR)))
-    rows = materialize(rows.drop("m", "m_all", "of"), "losses")
+    rows = rows.withColumn("own", F.coalesce(F.col("of"), F.lit(0)) >= LEAST_TRUSTED)
+    m = {k: F.when(F.col("own"), F.col(f"m_{k}")).otherwise(F.col(f"all_{k}")) for k in kinds}
+    shrunk = [F.when(F.col("n_symbols") > 0, (F.col(c) + PRIOR * m[k]) / (F.col("n_symbols") + PRIOR)).alias(k) for k, c in kinds.items()]
+    rows = materialize(rows.select("doc_id", "lang", "trusted", "n_symbols", "loss", "own", *shrunk), "losses")
     known = rows.filter(F.col("trusted") & (F.col("n_symbols") > 0))
-    at = F.percentile_approx("shrunk_loss", [0.5, QUANTILE], 10_000)
-    limit = lambda c: c[1] + MARGIN * (c[1] - c[0])
-    limits = known.filter("own").groupBy("lang").agg(limit(at).alias("t_lang"))
-    rows = rows.crossJoin(F.broadcast(known.agg(limit(at).alias("t_all"))))
+
+    def limit(k: str):
+        c = F.percentile_approx(k, [0.5, QUANTILE], 10_000)
+        return c[1] + MARGIN * (c[1] - c[0])
+
+    limits = known.filter("own").groupBy("lang").agg(*[limit(k).alias(f"t_{k}") for k in kinds])
+    rows = rows.crossJoin(F.broadcast(known.agg(*[limit(k).alias(f"all_{k}") for k in kinds])))
     rows = rows.join(limits, rows["lang"].eqNullSafe(limits["lang"]), "left").drop(limits["lang"])
-    rows = rows.withColumn("threshold", F.when(F.col("own"), F.col("t_lang")).otherwise(F.col("t_all")))
+    threshold = {k: F.when(F.col("own"), F.col(f"t_{k}")).otherwise(F.col(f"all_{k}")) for k in kinds}
+    within = [F.coalesce(F.col(k) <= threshold[k], F.lit(True)) for k in kinds]
     return rows.select(
-        "doc_id", "lang", "n_symbols", F.when(F.col("n_symbols") > 0, F.exp(F.col("loss") / F.col("n_symbols"))).alias("perplexity"), "shrunk_loss", "threshold", "trusted",
-        ((F.col("n_symbols") > 0) & F.coalesce(F.col("shrunk_loss") <= F.col("threshold"), F.lit(True))).alias("keep"),
+        "doc_id", "lang", "n_symbols", F.when(F.col("n_symbols") > 0, F.exp(F.col("loss") / F.col("n_symbols"))).alias("perplexity"), "shrunk_loss", threshold["shrunk_loss"].alias("threshold"),
+        "char_loss", threshold["char_loss"].alias("char_threshold"), "trusted", ((F.col("n_symbols") > 0) & within[0] & within[1]).alias("keep"),
     )
 
 

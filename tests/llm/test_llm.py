@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -354,6 +355,49 @@ def test_quality_shards_and_probabilities(spark, monkeypatch):
     assert parts == pytest.approx(whole, rel=1e-4)
 
 
+def test_words_in_a_bad_order_are_not_kept(spark):
+    def ordered(seed, n):
+        r, w = random.Random(seed), random.Random(seed).randrange(len(WORDS))
+        out = []
+        for _ in range(n):
+            out.append(WORDS[w])
+            w = (5 * w + r.choice((1, 7))) % len(WORDS)
+        return out
+
+    good = [ordered(6000 + i, 150) for i in range(60)]
+    junk = [random.Random(i).sample(g, len(g)) for i, g in enumerate(good[40:46])]
+    docs = frame(spark, [" ".join(t) for t in good + junk])
+    rows = {r["doc_id"]: r["keep"] for r in quality.classify(docs, spark.range(0, 40).withColumnRenamed("id", "doc_id")).collect()}
+    assert sum(rows[i] for i in range(60)) >= 58 and not any(rows[i] for i in range(60, 66))
+
+
+def test_word_counts_match_brute_force(spark, monkeypatch):
+    texts = [text(6500 + i, 60) + (" ünseen\n word" if i % 3 == 0 else "") for i in range(12)] + ["", "  ", None, "alone"]
+    trusted = set(range(8)) | {12}
+    docs = frame(spark, texts)
+    monkeypatch.setattr(quality, "CHUNK_BYTES", 600)
+    monkeypatch.setattr(quality, "SHARE_BYTES", 900)
+    model = quality.train(docs.filter(F.col("doc_id").isin(*trusted)).select("text"))
+    base = {r["doc_id"]: r["loss"] for r in quality.score(docs, model).collect()}
+    found = {r["doc_id"]: r for r in quality.word_losses(docs, docs.filter(F.col("doc_id").isin(*trusted)).select("doc_id"), model).collect()}
+    assert {i: r["char_loss"] for i, r in found.items()} == pytest.approx(base, rel=1e-4)
+    for i, t in enumerate(texts):
+        assert found[i]["trusted"] == (i in trusted)
+        seen = [("", *texts[j].split()) for j in trusted if j != i and texts[j]]  # a trusted text's own counts are taken off
+        one, two = Counter(w for s in seen for w in s), Counter(p for s in seen for p in zip(s, s[1:]))
+        total, t = sum(len(s) - 1 for s in seen), t or ""
+        raw = np.frombuffer(t.encode(), np.uint8)
+        logs, _ = quality.character_logs(raw, np.array([0, len(raw)]), model[0].ravel(), model[1])
+        spans = [m.span() for m in re.finditer(r"\S+\s*", t)]
+        loss, last = -logs[: spans[0][0] if spans else len(t)].sum(), ""
+        for lo, hi in spans:
+            w = t[lo:hi].strip()
+            p = (one[w] + quality.WORD * np.exp(logs[lo:hi].sum())) / (total + quality.WORD)
+            loss -= np.log((two[last, w] + quality.BIGRAM * p) / (one[last] + quality.BIGRAM))
+            last = w
+        assert found[i]["loss"] == pytest.approx(loss, rel=1e-6, abs=1e-9), i
+
+
 def test_pipeline_stages_keep_the_columns(spark, tmp_path):
     import corpus_pipeline
 
