@@ -15,9 +15,10 @@ holds, is an interpolated modified Kneser-Ney model of characters (order 4).
   the distinct 4-grams, counts of counts give the three discounts of each order. It has seen the trusted document itself.
   Contexts are dealt over shards of at most ``SHARD_CONTEXTS`` contexts (one here), at most 127^3 in all.
 * Threshold: the mean log-loss of a character, shrunk towards its language's mean by ``PRIOR`` characters (short texts
-  are noisy), is held against its language's quantile over trusted documents, widened by ``MARGIN`` times its distance from the
-  median, once by words and once by the character model alone; a document is kept within both. Languages with fewer
-  than ``LEAST_TRUSTED`` trusted documents use the quantiles over all.
+  are noisy), is held against a limit of its language over trusted documents; a document is kept within both. By words the limit
+  is the ``QUANTILE``; by characters it is the ``CHAR_QUANTILE`` widened by ``MARGIN`` times its distance from the
+  median, as that model has seen the trusted documents and fits them better than others. Languages with fewer than
+  ``LEAST_TRUSTED`` trusted documents use the limits over all.
 
 Edge cases: null and empty texts have no perplexity and are not kept; without trusted text everything else is
 kept, with a null threshold; a null language is a language of its own; a repeated doc_id is trusted or not as one and
@@ -43,7 +44,7 @@ SHARD_CONTEXTS = 1 << 17
 #: Text of a chunk and of a shard's share, and the weights of the lower orders.
 CHUNK_BYTES, SHARE_BYTES, BIGRAM, WORD = 2 << 20, 8 << 20, 20.0, 200.0
 KEY_BITS = 48
-QUANTILE, MARGIN, PRIOR, LEAST_TRUSTED = 0.95, 3.0, 100.0, 20
+QUANTILE, CHAR_QUANTILE, MARGIN, PRIOR, LEAST_TRUSTED = 0.995, 0.95, 1.0, 100.0, 20
 
 
 def symbols(points: np.ndarray) -> np.ndarray:
@@ -385,9 +386,10 @@ def classify(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     shrunk = [F.when(F.col("n_symbols") > 0, (F.col(c) + PRIOR * m[k]) / (F.col("n_symbols") + PRIOR)).alias(k) for k, c in kinds.items()]
     rows = materialize(rows.select("doc_id", "lang", "trusted", "n_symbols", "loss", "own", *shrunk), "losses")
     known = rows.filter(F.col("trusted") & (F.col("n_symbols") > 0))
-
     def limit(k: str):
-        c = F.percentile_approx(k, [0.5, QUANTILE], 10_000)
+        if k == "shrunk_loss":
+            return F.percentile_approx(k, QUANTILE, 10_000)
+        c = F.percentile_approx(k, [0.5, CHAR_QUANTILE], 10_000)
         return c[1] + MARGIN * (c[1] - c[0])
 
     limits = known.filter("own").groupBy("lang").agg(*[limit(k).alias(f"t_{k}") for k in kinds])

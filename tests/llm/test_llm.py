@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -371,6 +372,16 @@ def test_words_in_a_bad_order_are_not_kept(spark):
     assert sum(rows[i] for i in range(60)) >= 58 and not any(rows[i] for i in range(60, 66))
 
 
+def test_thresholds_are_quantiles_of_trusted_text(spark):
+    docs = frame(spark, [text(6800 + i, 40 + i) for i in range(60)])
+    rows = quality.classify(docs, spark.range(0, 50).withColumnRenamed("id", "doc_id")).collect()
+    ranks = {k: sorted(r[k] for r in rows if r["trusted"]) for k in ("shrunk_loss", "char_loss")}
+    assert {r["threshold"] for r in rows} == {ranks["shrunk_loss"][math.ceil(0.995 * 50) - 1]}
+    median, high = ranks["char_loss"][24], ranks["char_loss"][math.ceil(0.95 * 50) - 1]
+    assert all(r["char_threshold"] == pytest.approx(2 * high - median) for r in rows)
+    assert all(r["keep"] == (r["shrunk_loss"] <= r["threshold"] and r["char_loss"] <= r["char_threshold"]) for r in rows)
+
+
 def test_word_counts_match_brute_force(spark, monkeypatch):
     texts = [text(6500 + i, 60) + (" ünseen\n word" if i % 3 == 0 else "") for i in range(12)] + ["", "  ", None, "alone"]
     trusted = set(range(8)) | {12}
