@@ -12,8 +12,8 @@ priority among those that the text has is taken. Texts of nearly equal lengths t
 share of equal bits estimates the Hamming distance. Likeness is 2 * share - 1, at least 0: unrelated texts agree in
 half of their bits.
 
-:func:`near_pairs` bands the fingerprints (``BANDS`` groups of sampled bits), links the members of a band to its
-first member, and verifies each link on the whole fingerprints.
+:func:`near_pairs`, which no registered query calls, bands the fingerprints so that two near ones differ in at most two bits of
+some band, compares all members of a band in pairs of bounded blocks, and verifies on the whole fingerprints: no pair is lost.
 
 Edge cases: a null text is empty; an empty text's fingerprint is all zeros, and its likeness to any non-empty text
 is 0; rows that repeat a doc_id are ordered by their text; with a single row the next document is the row itself;
@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 
 from .common import mix64, table
 
-BITS, BLOCK, UNIT, SEED, BANDS = 256, 1024, 16, 7, 32
+BITS, BLOCK, UNIT, SEED = 256, 1024, 16, 7
 #: Steps of a block's walk: each character takes two on average.
 STEPS = 2 * BLOCK
 #: Blocks that are walked side by side.
 WIDTH = 2048
+#: Members of a band value that meet in one group of a join.
+MEMBERS = 2000
 
 
 @lru_cache(maxsize=1)
@@ -227,23 +229,39 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
 
 def near_pairs(prints: DataFrame, least: float = 0.75) -> DataFrame:
-    """Links (first, doc_id, likeness) of a likeness of at least ``least``, from bands of the fingerprints of :func:`fingerprint`.
+    """Links (first, doc_id, likeness) of a likeness of at least ``least``, from the fingerprints of :func:`fingerprint`.
 
-    Equal fingerprints are one class, named by its smallest doc_id. In each band a class is linked to the band's
-    first class only, so the links number at most BANDS times the classes, however large a group is.
+    Equal fingerprints are one class, named by its smallest doc_id, to which its members are linked; between classes
+    every near pair is written. Near fingerprints differ in at most ``errors`` bits, so in at most two of some band; a class is
+    entered under its own value of each band and under all values that differ in one bit, where such two meet.
     """
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.max("n_chars").alias("n_chars"))
-    width = BITS // 4 // BANDS
-    # A band's bits are strided over the fingerprint, each bit being an independent sample already.
-    band = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.substring("fingerprint", 1 + i * width, width).alias("v")) for i in range(BANDS)]))
-    rows = classes.select("doc_id", "fingerprint", "n_chars", band.alias("band"))
-    heads = rows.groupBy("band").agg(F.min(F.struct("doc_id", "fingerprint")).alias("head"))
-    pairs = rows.join(heads, "band").filter(F.col("head.doc_id") < F.col("doc_id"))
-    pairs = pairs.select(F.col("head.doc_id").alias("first"), F.col("head.fingerprint").alias("f"), "doc_id", "fingerprint").distinct()
-    words = [F.bit_count(F.conv(F.substring("f", 1 + 8 * i, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("fingerprint", 1 + 8 * i, 8), 16, 10).cast("long"))) for i in range(BITS // 32)]
-    pairs = pairs.withColumn("likeness", F.greatest(F.lit(0.0), 1 - 2 * sum(words[1:], words[0]) / BITS))
+    errors = int(BITS * (1 - least) / 2 + 1e-9)
+    bands = max(errors // 3 + 1, 6)
+    edges = np.arange(bands + 1) * BITS // bands
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                b = whole.slice(lo, 1024)
+                raw = np.frombuffer(bytes.fromhex("".join(b.column(1).to_pylist())), np.uint8).reshape(-1, BITS // 8)
+                bits, words, ids = np.unpackbits(raw, axis=1).astype(np.int64), raw.view(np.int64), b.column(0).to_numpy()
+                for i in range(bands):
+                    flips = 1 << np.arange(edges[i + 1] - edges[i], dtype=np.int64)
+                    v = ((bits[:, edges[i] : edges[i + 1]] @ flips)[:, None] ^ np.append(flips, 0)).ravel()
+                    row = np.repeat(np.arange(len(ids)), len(flips) + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(v), pa.array(ids[row]), *(pa.array(words[row, k]) for k in range(4))], ["band", "v", "id", "w0", "w1", "w2", "w3"])
+
+    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null")
+    rows = classes.select("doc_id", "fingerprint").mapInArrow(enter, "band int, v long, id long, w0 long, w1 long, w2 long, w3 long")
+    sizes = rows.groupBy("band", "v").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
+    rows = rows.join(sizes.filter("blocks > 1"), ["band", "v"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = lambda n, i, j: rows.select("band", "v", F.col(i).alias("i"), F.col(j).alias("j"), *[F.col(c).alias(f"{n}_{c}") for c in ("id", "w0", "w1", "w2", "w3")])
+    apart = sum((F.bit_count(F.col(f"a_w{k}").bitwiseXOR(F.col(f"b_w{k}"))) for k in range(1, 4)), F.bit_count(F.col("a_w0").bitwiseXOR(F.col("b_w0"))))
+    pairs = side("a", "own", "other").join(side("b", "other", "own"), ["band", "v", "i", "j"]).filter((F.col("a_id") < F.col("b_id")) & (apart <= errors))
+    pairs = pairs.select(F.col("a_id").alias("first"), F.col("b_id").alias("doc_id"), (1 - 2 * apart / BITS).alias("likeness")).distinct()
     members = prints.join(classes.select("fingerprint", F.col("doc_id").alias("first")), "fingerprint").filter("first < doc_id").select("first", "doc_id", F.lit(1.0).alias("likeness"))
-    return pairs.filter(F.col("likeness") >= least).select("first", "doc_id", "likeness").unionByName(members)
+    return pairs.unionByName(members)
 
 
 def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,6 +126,25 @@ def test_fingerprints(spark, odd, none):
     assert (4, 5) in links and not any(7 in p for p in links)
 
 
+def test_near_pairs_match_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    bits = [rng.integers(0, 2, 256) for _ in range(40)]
+    for n in range(160):  # chains of near, unequal fingerprints, just within and just beyond the limit among them
+        b = bits[n % 80].copy()
+        b[rng.choice(256, (1, 9, 31, 32, 33, 34)[n % 6], replace=False)] ^= 1
+        bits.append(b)
+    hexes = [np.packbits(b).tobytes().hex() for b in bits]
+    # Ids descend within a group, so that the smallest of a band value is none of most pairs.
+    prints = spark.createDataFrame([(500 - i, 10, h) for i, h in enumerate(hexes)], "doc_id long, n_chars long, fingerprint string")
+    apart = (np.array(bits)[:, None] != np.array(bits)[None]).sum(axis=2)
+    want = {(500 - j, 500 - i): 1 - 2 * apart[i, j] / 256 for i in range(200) for j in range(i + 1, 200) if apart[i, j] <= 32}
+    assert len(want) > 80
+    for members in (2000, 3):
+        monkeypatch.setattr(fingerprints, "MEMBERS", members)
+        rows = fingerprints.near_pairs(prints).collect()
+        assert len(rows) == len(want) and {(r["first"], r["doc_id"]): r["likeness"] for r in rows} == want
+
+
 def test_one_insertion_changes_few_bits():
     base = fingerprints.code_points(text(9, 400))
     other = np.insert(base, 700, 120)
