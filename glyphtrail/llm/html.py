@@ -3,13 +3,14 @@
 Every page is parsed into a tree whose runs of equal siblings are one slot (a path of tag and class labels). Over all
 pages, each host's slots are counted: how often they hold text, how often their most frequent text, and how many
 characters. Per host the distinct page skeletons are aligned by simple tree matching into one wrapper tree, so that
-a slot is the same on pages of unlike shape. A slot whose text is constant is template; slots that vary are content,
+a slot is the same on pages of unlike shape. Equal pages of a host count once. A slot whose text is constant on most of the
+host's pages is template, inside an article only if it has a class or id and is no heading; slots that vary are content,
 and the host's content region is its article element or, where it has none, the wrapper node that holds most of the
 varying text outside menus, headers, footers, sidebars, notices, adverts, forms and reader comments. Each page is
 then cut by its host's wrapper, a row at a time.
 
-Only counts per (host, slot, text hash) are shuffled, summed before the shuffle, so a host that holds a third of all pages
-is no hot key; the wrappers (a few paths a host) go to the pages by a broadcast while they are below
+Pages are shuffled by host and hash, to find the distinct ones, then only counts per (host, slot, text hash), summed before
+the shuffle, so a host that holds a third of all pages is no hot key; the wrappers (a few paths a host) go to the pages by a broadcast while they are below
 ``WRAPPER_BYTES``, and by a join on the host beyond that, with equal results.
 
 A block is the text between the tags of block elements; a br is white space. Text of a varying slot is never
@@ -35,8 +36,9 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 WRAPPER_BYTES = 32 << 20
-#: A slot is template when its most frequent text fills this share of at least CONSTANT_PAGES occurrences.
-CONSTANT_SHARE, CONSTANT_PAGES = 0.9, 5
+#: A slot is template when its most frequent text fills this share of at least CONSTANT_PAGES occurrences, which are at least
+#: as many as CONSTANT_OF_HOST of the host's distinct pages.
+CONSTANT_SHARE, CONSTANT_PAGES, CONSTANT_OF_HOST = 0.9, 5, 0.5
 #: The content region's share of its parent's varying text.
 REGION_SHARE = 0.6
 #: Levels that are aligned; deeper slots keep their page's path.
@@ -211,6 +213,11 @@ def _tag(label: str) -> str:
     return re.split(r"[.#]", label, maxsplit=1)[0]
 
 
+def _named(label: str) -> bool:
+    """Whether an element has a class or id and is no heading, article or main: inside an article only such a slot can be template."""
+    return label != _tag(label) and _tag(label) not in ("h1", "h2", "h3", "h4", "h5", "h6", "article", "main")
+
+
 def align(wrapper: Tree, page: Tree, at: str, at_page: str, names: dict[str, str]) -> None:
     """Merge a page's tree into the wrapper; ``names`` gets the wrapper's path for each path of the page."""
     pairs = {y: x for x, y in match(wrapper, page)[1]}
@@ -230,7 +237,9 @@ def induce(rows: pd.DataFrame) -> pd.DataFrame:
     for path, n, top, chars in rows.loc[rows["kind"] == "t", ["path", "n", "top", "chars"]].itertuples(index=False):
         x = sums[names.get(path, path)]
         x[0], x[1], x[2] = x[0] + n, max(x[1], top), x[2] + chars
-    constant = {p for p, (n, top, _) in sums.items() if n >= CONSTANT_PAGES and top >= CONSTANT_SHARE * n}
+    pages = rows.loc[rows["kind"] == "s", "n"].sum()
+    constant = {p for p, (n, top, _) in sums.items() if n >= max(CONSTANT_PAGES, CONSTANT_OF_HOST * pages) and top >= CONSTANT_SHARE * n}
+    constant = {p for p in constant if _named(p.rsplit("/", 1)[-1]) or not any(_tag(x) in ("article", "main") for x in p.split("/"))}
     mass: dict[str, int] = defaultdict(int)
     for p, (_, _, chars) in sums.items():
         if p not in constant:
@@ -264,7 +273,7 @@ def main_text(root: Node, region: frozenset[str], constant: frozenset[str]) -> s
             x, p = stack.pop()
             if x.out:
                 continue
-            if p not in constant:
+            if p not in constant or (x.inside and not _named(x.label)):
                 inside.extend(x.blocks)
             stack += [(c, f"{p}/{c.label}") for c in x.children]
 
@@ -289,7 +298,7 @@ def _host():
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, region, constant: every host's wrapper, from all of its pages."""
+    """host, region, constant: every host's wrapper, from all of its distinct pages."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -306,7 +315,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
             n, chars = list(zip(*sums.values())) or [[]] * 2
             yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.string()) for k in keys[:3]), pa.array(keys[3], pa.int64()), pa.array(n, pa.int64()), pa.array(chars, pa.int64())], ["host", "kind", "path", "h", "n", "chars"])
 
-    rows = pages.select(_host().alias("host"), F.col("html").cast("string")).mapInArrow(count, "host string, kind string, path string, h long, n long, chars long")
+    rows = pages.select(_host().alias("host"), F.col("html").cast("string").alias("html"))
+    # Copies of a page count once in its host.
+    rows = rows.groupBy("host", F.md5(F.col("html").cast("binary")).alias("md5")).agg(F.any_value("html").alias("html")).select("host", "html")
+    rows = rows.mapInArrow(count, "host string, kind string, path string, h long, n long, chars long")
     texts = rows.groupBy("host", "kind", "path", "h").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
     sums = texts.groupBy("host", "kind", "path").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.sum("chars").alias("chars"))
     return sums.groupBy("host").applyInPandas(induce, "host string, region string, constant string")

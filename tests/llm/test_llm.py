@@ -310,6 +310,15 @@ def test_main_text(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_copies_and_rare_slots_are_not_template(spark):
+    page = "<html><body><article><h1>Title {0}</h1><p>Only {0}</p>{1}</article></body></html>"
+    pages = [(i, "http://copies/p", page.format("one", "")) for i in range(60)] + [(60 + i, "http://copies/q", page.format(i, "")) for i in range(4)]
+    pages += [(100 + i, "http://big/p", page.format(i, "<blockquote>Said before</blockquote><div class=code>x = 1</div>" if i < 6 else "")) for i in range(40)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "Title one\nOnly one" for i in range(60))
+    assert all(got[100 + i] == f"Title {i}\nOnly {i}" + ("\nSaid before\nx = 1" if i < 6 else "") for i in range(40))
+
+
 def test_tree_matching():
     a, b = html.tree_of("body\nbody/div.x\nbody/div.x/p\nbody/ul"), html.tree_of("body\nbody/div.y\nbody/div.y/p\nbody/div.y/h1")
     assert html.match(a, b)[0] == 3
