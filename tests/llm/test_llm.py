@@ -356,6 +356,37 @@ def test_toxicity(spark, odd):
     assert sum(got[i] == bool(i % 2) for i in range(20)) >= 18
     assert all(0 <= x["score"] <= 1 for x in toxicity.score(odd, model).collect())
     assert toxicity.score(odd, toxicity.fit([])).count() == 11
+    assert toxicity.score(odd.limit(0), model).count() == 0
+
+
+def test_toxic_roots_of_a_small_language_are_found():
+    r = random.Random(4)
+    ends = ["ung", "heit", "lich", "en", "er", "st", "te", "sam"]
+
+    def toxic_text(i, root, n, times, few=None):
+        w = text(i, n).replace("a", "ö" if few else "a").split()
+        for _ in range(times):
+            w.insert(r.randrange(len(w)), root + r.choice(ends))
+        return " ".join(w)
+
+    def sample(first):
+        rows = [(toxic_text(first + i, "blurgha", 100, 5 if i % 5 == 0 else 0), int(i % 5 == 0)) for i in range(400)]
+        return rows + [(toxic_text(first + 500 + i, "zwefta", 100, 5 if i % 5 == 0 else i % 5 == 1, True), int(i % 5 == 0)) for i in range(100)]
+
+    train = sample(10_000)
+    model = toxicity.fit(train + [train[0]] * 50)  # copies make no contrast
+    assert model.weights
+    for rows in (sample(20_000)[:400], sample(20_000)[400:]):
+        got = [1 / (1 + math.exp(-np.dot(toxicity.features(toxicity.distances(t, model)), model.weights))) >= toxicity.THRESHOLD for t, _ in rows]
+        assert sum(g for g, (_, y) in zip(got, rows) if y) >= 0.8 * sum(y for _, y in rows)
+        assert sum(g for g, (_, y) in zip(got, rows) if not y) <= 0.02 * len(rows)
+
+
+def test_labels_are_drawn_once_and_conflicts_left_out(spark):
+    docs = frame(spark, [text(8000 + i, 20) for i in range(6)] + [None])
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 1), (1, 1), (2, 0), (3, None), (6, 1), (None, 1)], "doc_id long, toxic int")
+    assert sorted(toxicity.draw_sample(docs, labels, "toxic")) == sorted([(text(8001, 20), 1), (text(8002, 20), 0)])
+    assert toxicity.draw_sample(docs, labels.limit(0), "toxic") == []
 
 
 def test_quality(spark, odd, none):
