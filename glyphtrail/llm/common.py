@@ -39,6 +39,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``docs`` has it (names do not differ by case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def row_key() -> Column:
+    """128 bits of doc_id and text, either of which may be null: equal for repeated rows only."""
+    parts = [F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(c).cast("string"), F.lit("\u0000"))) for c in ("doc_id", "text")]
+    return F.unhex(F.md5(F.concat(*parts).cast("binary")))
+
+
 def utf8_views(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts of a string column and the n + 1 offsets into them; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

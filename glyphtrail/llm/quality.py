@@ -1,28 +1,26 @@
 """Quality by the perplexity of an n-gram language model.
 
-A model of word bigrams is counted over all trusted text, the documents that ``labels`` marks as good. A word is a run of
-other characters than white space and controls; a bigram's probability is (c(vw) + BIGRAM * P(w)) / (c(v) + BIGRAM), a
-word's is (c(w) + WORD * Q(w)) / (N + WORD) (hierarchical Dirichlet smoothing), and Q, for words that no trusted text
-holds, is an interpolated modified Kneser-Ney model of characters (order 4).
-
-* Sharded count joins: documents are dealt over chunks of about ``CHUNK_BYTES`` by doc_id. Each chunk sends every distinct
-  word and bigram once, with its count in the chunk's trusted documents, to the shard of its hash; the shard sums the
-  counts of all chunks and answers each in the order it asked. Both tables grow with the corpus; nothing of them goes to the
-  driver, and a frequent word is one entry a chunk. Keys are hashes of 48 bits.
-* A trusted document is scored without its own counts, as if the words had been counted over all others.
-* The character model's code points map to 127 symbols by a fixed rule, so its size is bounded and it is broadcast. Each
-  partition sums its 4-grams, the sums are shuffled by 4-gram. Continuation counts of the lower orders come from
-  the distinct 4-grams, counts of counts give the three discounts of each order. It has seen the trusted document itself.
-  Contexts are dealt over shards of at most ``SHARD_CONTEXTS`` contexts (one here), at most 127^3 in all.
-* Threshold: the mean log-loss of a character, shrunk towards its language's mean by ``PRIOR`` characters (short texts
-  are noisy), is held against a limit of its language over trusted documents; a document is kept within both. By words the limit
-  is the ``QUANTILE``; by characters it is the ``CHAR_QUANTILE`` widened by ``MARGIN`` times its distance from the
-  median, as that model has seen the trusted documents and fits them better than others. Languages with fewer than
-  ``LEAST_TRUSTED`` trusted documents use the limits over all.
+The model is an interpolated modified Kneser-Ney model of characters (``ORDER`` of them) over trusted text, the documents that
+``labels`` marks as good; one in ``HELD_OUT`` of those is not trained on and gives the thresholds. Code points up to the
+Latin extensions are symbols of their own and all others are dealt over the remaining symbols of ``BITS`` bits, so that a
+script's letters stay apart from each other and from Latin. The n-grams are 50-bit keys, whose lower orders are shifts and
+masks; their tables grow with the corpus and are only ever joined.
+
+* Documents are dealt over chunks of about ``CHUNK_BYTES`` by doc_id, packed and compressed, as text is what is shuffled.
+* Sharded counts: each chunk sends its distinct n-grams once, with their counts in its training documents, to the shard of
+  their hash, which merges them: one table of all n-grams, with counts. A frequent n-gram is one entry a chunk.
+* Lower orders count distinct left neighbours; counts of counts give the three discounts of each order; the probabilities of
+  all n-grams that any document holds follow from joins of that table with the lower orders', from order 1 up.
+* Sharded answers: each shard streams its probabilities and then its chunks' n-grams, and answers each chunk. A chunk's
+  documents are scored from the answers, characters in their order, over the whole text.
+* Threshold: the mean log-loss of a character, shrunk towards its language's mean by ``PRIOR`` characters (short texts are
+  noisy), is held against the ``QUANTILE`` of its language's held-out trusted documents. Languages with fewer than
+  ``LEAST_HELD`` of those use the one over all.
 
 Edge cases: null and empty texts have no perplexity and are not kept; without trusted text everything else is
-kept, with a null threshold; a null language is a language of its own; a repeated doc_id is trusted or not as one and
-its rows are scored each; ties at the threshold are kept.
+kept, with a null threshold; without held-out trusted documents all trusted ones give the threshold; a null language is a
+language of its own; a repeated doc_id is trusted or not as one and its rows are scored each; rows without a doc_id are not
+trusted; ties at the threshold are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,59 +31,138 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _ODD, _powers, materialize, mix64, slices, table, utf8_views
+from .common import free_name, materialize, mix64, row_key, slices, table, utf8_views
 from .langid import decode_utf8
 
-ORDER, SYMBOLS, BITS = 4, 127, 7
-SHARD_CONTEXTS = 1 << 17
-#: Text of a chunk and of a shard's share, and the weights of the lower orders.
-CHUNK_BYTES, SHARE_BYTES, BIGRAM, WORD = 2 << 20, 8 << 20, 20.0, 200.0
-KEY_BITS = 48
-QUANTILE, CHAR_QUANTILE, MARGIN, PRIOR, LEAST_TRUSTED = 0.995, 0.95, 1.0, 100.0, 20
+ORDER, BITS, LATIN = 5, 10, 0x250
+#: Text of a chunk, text that a task packs at once, n-grams of a shard, and most shards.
+CHUNK_BYTES, PACK_BYTES, SHARE, MOST_SHARDS = 16 << 20, 16 << 20, 1 << 21, 4096
+HELD_OUT, QUANTILE, PRIOR, LEAST_HELD = 5, 0.99, 100.0, 20
 
 
 def symbols(points: np.ndarray) -> np.ndarray:
-    """1 to 95 for printable ASCII (white space is a space), 96 to 126 for all other code points; 0 begins a text."""
+    """1 for white space and controls, code points below LATIN themselves, 592 to 1023 for all others; 0 begins a text."""
     p = points.astype(np.uint32)
-    other = 96 + ((p * np.uint32(0x9E3779B1)) >> np.uint32(16)) % 31
-    return np.where((p >= 32) & (p < 127), p - 31, np.where(p < 32, 1, other)).astype(np.int32)
+    other = LATIN + ((p * np.uint32(0x9E3779B1)) >> np.uint32(12)) % np.uint32((1 << BITS) - LATIN)
+    return np.where(p <= 32, 1, np.where(p < LATIN, p, other)).astype(np.int64)
 
 
-def contexts_and_symbols(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each character its context of three symbols (21 bits) and its symbol; the texts' offsets."""
+def ngrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram that ends at each character, as a key, and the texts' offsets in characters."""
     points, at = decode_utf8(raw, offsets)
-    s, n = symbols(points), np.diff(at)
-    row = np.repeat(np.arange(len(n)), n)
-    padded = np.zeros(len(s) + 3 * len(n), np.int32)
-    place = np.arange(len(s)) + 3 * (row + 1)
-    padded[place] = s
-    return (padded[place - 3] << 14) | (padded[place - 2] << 7) | padded[place - 1], s, at
+    n = np.diff(at)
+    place = np.arange(len(points)) + (ORDER - 1) * (np.repeat(np.arange(len(n)), n) + 1)
+    padded = np.zeros(len(points) + (ORDER - 1) * len(n), np.int64)
+    padded[place] = symbols(points)
+    keys = np.zeros(len(points), np.int64)
+    for j in range(ORDER - 1, -1, -1):
+        keys = (keys << BITS) | padded[place - j]
+    return keys, at
+
+
+def packed(docs: DataFrame, chunks: int, carried: list[str]) -> DataFrame:
+    """chunk, ``carried`` (arrays), size (array: bytes of each text, -1: null), texts (compressed): rows of ``docs`` that go to one chunk."""
+    schema = docs.schema
+    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks))
+    rows = docs.select(F.when(F.col("doc_id").isNull(), deal(F.col("text").cast("string"))).otherwise(deal(F.col("doc_id").cast("string"))).alias("chunk"), F.col("text").cast("string").alias("text"), *carried)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-def count_ngrams(texts: DataFrame) -> DataFrame:
-    """k (28 bits: four symbols), c: the counts of all 4-grams of ``texts`` (text)."""
+        zip_ = zstandard.ZstdCompressor(3)
+        held: list[pa.Table] = []
+        waiting = 0
 
-    def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        k, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return k, np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(k)).astype(np.int64)
+        def ship() -> pa.RecordBatch:
+            t = pa.concat_tables(held).sort_by("chunk").combine_chunks()
+            raw, offsets = utf8_views(t.column("text"))
+            chunk = t.column("chunk").to_numpy()
+            size = np.where(t.column("text").is_null().to_numpy(), -1, np.diff(offsets))
+            cut = np.concatenate((np.flatnonzero(np.diff(chunk, prepend=-1)), [len(chunk)]))
+            lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c) for c in (*(t.column(x) for x in carried), pa.array(size))]
+            texts = [zip_.compress(raw[offsets[a] : offsets[b]].tobytes()) for a, b in zip(cut, cut[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(chunk[cut[:-1]]), *lists, pa.array(texts, pa.binary())], ["chunk", *carried, "size", "texts"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
-            raw, offsets = utf8_views(b.column(0))
-            for lo, hi in slices(offsets):
-                c, s, _ = contexts_and_symbols(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                parts.append(np.unique((c << BITS) | s, return_counts=True))
-                if len(parts) > 16:
-                    parts = [merge(parts)]
-        if parts:
-            k, n = merge(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(n)], ["k", "c"])
+            for lo, hi in slices(utf8_views(b.column("text"))[1], PACK_BYTES):
+                t = pa.Table.from_batches([b.slice(lo, hi - lo)])
+                held.append(t)
+                waiting += t.nbytes
+                if waiting >= PACK_BYTES:
+                    yield ship()
+                    held, waiting = [], 0
+        if held:
+            yield ship()
+
+    kinds = ", ".join(f"{c} array<{schema[c].dataType.simpleString()}>" for c in carried)
+    return rows.mapInArrow(run, f"chunk long, {kinds}, size array<long>, texts binary")
+
 
-    return texts.mapInArrow(count, "k int, c long").groupBy("k").agg(F.sum("c").alias("c"))
+class Chunk:
+    """The rows of one chunk."""
+
+    def __init__(self, rows: pa.Table, trusted: pa.Table, carried: list[str]):
+        import zstandard
+
+        unzip = zstandard.ZstdDecompressor()
+        sizes = [len(s) for s in rows.column("size")]
+        size = np.array([x for s in rows.column("size").to_pylist() for x in s], np.int64)
+        texts = [unzip.decompress(t.as_py(), max_output_size=max(1, sum(max(0, x) for x in s.as_py()))) for t, s in zip(rows.column("texts"), rows.column("size"))]
+        self.raw, self.offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum(np.maximum(size, 0))))
+        self.columns = [pc.list_flatten(rows.column(c).combine_chunks()) for c in carried]
+        ids = pc.list_flatten(rows.column("doc_id").combine_chunks())
+        known = trusted.filter(pc.is_valid(trusted.column("id")))
+        marks = [known.filter(known.column("held") if h else pc.invert(known.column("held"))).column("id").combine_chunks() for h in (False, True)]
+        self.trains, self.held = (pc.is_in(ids, m, skip_nulls=True).to_numpy(zero_copy_only=False) for m in marks)
+        self.n = int(sum(sizes))
+
+    def slices(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        for lo, hi in slices(self.offsets):
+            yield lo, hi, *ngrams(self.raw[self.offsets[lo] : self.offsets[hi]], self.offsets[lo : hi + 1] - self.offsets[lo])
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct n-grams and how often the training documents hold them."""
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for lo, hi, k, at in self.slices():
+            own, where = np.unique(k, return_inverse=True)
+            mine = np.bincount(where[np.repeat(self.trains[lo:hi], np.diff(at))], minlength=len(own))
+            keys, counts = merged([keys, own], [counts, mine])
+        return keys, counts
+
+    def losses(self, keys: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters and -log P of each text, given log P of the sorted ``keys``."""
+        n, loss = np.zeros(self.n, np.int64), np.zeros(self.n)
+        for lo, hi, k, at in self.slices():
+            if not len(k):
+                continue
+            where = np.minimum(np.searchsorted(keys, k), len(keys) - 1) if len(keys) else None
+            if where is None or (keys[where] != k).any():
+                raise RuntimeError("a chunk's documents are not those that asked")
+            sums = np.concatenate(([0.0], np.cumsum(logs[where], dtype=np.float64)))
+            n[lo:hi], loss[lo:hi] = np.diff(at), sums[at[:-1]] - sums[at[1:]]
+        return n, loss
+
+
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order and their summed counts."""
+    every, where = np.unique(np.concatenate(keys), return_inverse=True)
+    return every, np.bincount(where, np.concatenate(counts), len(every)).astype(np.int64)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers by byte planes, high ones first, which compress when the numbers are small."""
+    return np.ascontiguousarray(x.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.int64)
+
+
+def _keys(b: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(b))
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -99,307 +176,161 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 
 
 def with_discounts(t: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """k, a: each n-gram's discounted share of its context, and x, g: each context's weight for the lower order."""
+    """k, a: each n-gram's discounted share of its context, and x, g: each context's weight for the lower order. ``t``: k, c."""
     row = t.agg(*[F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, 5)]).first()
     d = discounts([row[f"n{i}"] for i in range(1, 5)])
     cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
     rows = t.withColumn("x", F.shiftright("k", BITS)).withColumn("d", cut)
     totals = rows.groupBy("x").agg(F.sum("c").alias("t"), F.sum("d").alias("ds"))
-    share = rows.join(totals, "x").select("k", "x", (F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("t")).alias("a"))
+    share = rows.join(totals, "x").select("k", (F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("t")).alias("a"))
     return share, totals.select("x", (F.col("ds") / F.col("t")).alias("g"))
 
 
-def _arrays(df: DataFrame) -> list[np.ndarray]:
-    """The columns of a table whose size the symbols bound."""
-    t = df.toArrow()
-    return [t.column(i).to_numpy() for i in range(t.num_columns)]
-
-
-def train(texts: DataFrame) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]] | None:
-    """log P3 as a dense [127^3 or so] table, and a list of shards (index of contexts, rows of log P4); None without text."""
-    t4 = materialize(count_ngrams(texts), "counts")
-    if t4.isEmpty():
-        return None
-    mask3, mask2 = (1 << 3 * BITS) - 1, (1 << 2 * BITS) - 1
-    t3 = materialize(t4.groupBy(F.col("k").bitwiseAND(mask3).alias("k")).agg(F.count(F.lit(1)).alias("c")), "counts")
-    t2 = t3.groupBy(F.col("k").bitwiseAND(mask2).alias("k")).agg(F.count(F.lit(1)).alias("c"))
-    size = 1 << BITS
-    k2, c2 = _arrays(t2)
-    k1, c1 = np.unique(k2 & (size - 1), return_counts=True)
-    d = discounts([int((c1 == i).sum()) for i in range(1, 5)])
-    off = np.array(d)[np.minimum(c1, 3) - 1]
-    p1 = np.full(size, off.sum() / c1.sum() / SYMBOLS)
-    p1[k1] += np.maximum(c1 - off, 0) / c1.sum()
-    d = discounts([int((c2 == i).sum()) for i in range(1, 5)])
-    off = np.array(d)[np.minimum(c2, 3) - 1]
-    total, weight = np.bincount(k2 >> BITS, c2, size), np.bincount(k2 >> BITS, off, size)
-    some = total > 0
-    p2 = np.tile(p1, (size, 1))
-    p2[some] *= (weight[some] / total[some])[:, None]
-    p2[k2 >> BITS, k2 & (size - 1)] += np.maximum(c2 - off, 0) / total[k2 >> BITS]
-    share, weight = with_discounts(t3)
-    k, _, a = _arrays(share)
-    x, g = _arrays(weight)
-    p3 = np.tile(p2, (size, 1)).reshape(size * size, size)  # row (b, c) starts as P2 of c
-    p3[x] *= g[:, None]
-    p3[k >> BITS, k & (size - 1)] += a
-    share, weight = with_discounts(t4)
-    n = weight.count()
-    shards, out = max(1, math.ceil(n / SHARD_CONTEXTS)), []
-    for i in range(shards):
-        mine = F.pmod(F.hash("x"), F.lit(shards)) == i
-        x, g = _arrays(weight.filter(mine))
-        k, _, a = _arrays(share.filter(mine))
-        index = np.full(size**3, -1, np.int32)
-        index[x] = np.arange(len(x))
-        rows = p3[x & mask2] * g[:, None]
-        rows[index[k >> BITS], k & (size - 1)] += a
-        out.append((index, np.log(rows).astype(np.float32)))
-    return np.log(p3).astype(np.float32), out
-
-
-def score(docs: DataFrame, model: tuple | None) -> DataFrame:
-    """doc_id, lang, n_symbols, loss (summed -log P) of every row of ``docs`` (doc_id, text, lang)."""
-    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", "lang")}
-    rows = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_symbols"), F.lit(0.0).alias("loss"))
-    if model is None:
-        return rows.select("doc_id", "lang", F.length("text").cast("long").alias("n_symbols"), "loss")
-    context = docs.sparkSession.sparkContext
-    lower = context.broadcast(model[0].ravel())
-    shards = [context.broadcast(s) for s in model[1]]
-
-    def summing(i: int):
-        last, only = i == len(shards) - 1, len(shards) == 1
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            p3, (index, p4) = lower.value, shards[i].value
-            p4 = p4.ravel()
-            for b in batches:
-                raw, offsets = utf8_views(b.column(2))
-                n, loss = np.zeros(b.num_rows, np.int64), b.column(4).to_numpy(zero_copy_only=False).copy()
-                for lo, hi in slices(offsets):
-                    c, s, at = contexts_and_symbols(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                    row = index[c]
-                    logs = np.where(row >= 0, p4[np.maximum(row, 0) * 128 + s], p3[((c & 0x3FFF) << BITS) | s]).astype(np.float64)
-                    if not only:  # contexts that no shard has are summed with the first
-                        logs *= row >= 0 if i else (row >= 0) | unseen[c]
-                    sums = np.concatenate(([0.0], np.cumsum(logs)))
-                    n[lo:hi] = np.diff(at)
-                    loss[lo:hi] -= sums[at[1:]] - sums[at[:-1]]
-                kept = [b.column(0), b.column(1), *([] if last else [b.column(2)]), pa.array(n), pa.array(loss)]
-                yield pa.RecordBatch.from_arrays(kept, ["doc_id", "lang", *([] if last else ["text"]), "n_symbols", "loss"])
-
-        unseen = None
-        if not only and i == 0:
-            unseen = np.logical_and.reduce([s[0] < 0 for s in model[1]])
-        text = "" if last else "text string, "
-        return run, f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, {text}n_symbols long, loss double"
-
-    for i in range(len(shards)):
-        rows = rows.mapInArrow(*summing(i))
-    return rows
-
-
-def character_logs(raw: np.ndarray, offsets: np.ndarray, lower: np.ndarray, shards: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """log P of every character under the character model, and the texts' offsets."""
-    logs, ats = [], [np.zeros(1, np.int64)]
-    for lo, hi in slices(offsets):
-        c, s, at = contexts_and_symbols(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-        out = lower[((c & 0x3FFF) << BITS) | s].astype(np.float64)
-        for index, p4 in shards:
-            row = index[c]
-            out = np.where(row >= 0, p4.ravel()[np.maximum(row, 0) * 128 + s], out)
-        logs.append(out)
-        ats.append(at[1:] + ats[-1][-1])
-    return np.concatenate([np.zeros(0), *logs]), np.concatenate(ats)
-
-
-def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of each text's words, the texts' offsets in them, each word's first character, the texts' offsets in characters."""
-    points, at = decode_utf8(raw, offsets)
-    n = len(points)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64), np.zeros(0, np.int64), at
-    inside = points > 32
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    last[:-1] &= ~inside[1:]
-    edges = at[(at > 0) & (at < n)]
-    first[edges], last[edges - 1] = inside[edges], inside[edges - 1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    h = mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return h, np.searchsorted(starts, at), starts, at
-
-
-#: The keys that count all words and the texts' begins.
-ALL_WORDS, BEGIN = 0, 1
-
-
-class Chunk:
-    """The rows of one chunk: what it asks of the shards, and its texts' losses from the answers."""
-
-    def __init__(self, texts: pa.Array, trusted: np.ndarray):
-        self.raw, self.offsets = utf8_views(texts)
-        h, self.at, self.starts, self.chars = words_of(self.raw, self.offsets)
-        self.trusted, n = trusted, len(h)
-        self.row = np.repeat(np.arange(len(trusted)), np.diff(self.at))
-        self.full = np.flatnonzero(np.diff(self.at) > 0)
-        before = np.zeros(n, np.uint64)
-        before[1:] = h[:-1]
-        before[self.at[:-1][self.full]] = BEGIN
-        cut, least = np.uint64(64 - KEY_BITS), np.uint64(2)
-        words, word = np.unique(np.maximum(mix64(h ^ _ODD) >> cut, least), return_inverse=True)
-        pairs, pair = np.unique(np.maximum(mix64(before * _ODD + h) >> cut, least), return_inverse=True)
-        every = np.concatenate((np.array([ALL_WORDS, BEGIN], np.uint64), words, pairs))
-        self.keys, where = np.unique(every, return_inverse=True)
-        self.word, self.pair = where[2 + word], where[2 + len(words) + pair]
-        mine = trusted[self.row]
-        self.counts = np.bincount(self.word[mine], minlength=len(self.keys)) + np.bincount(self.pair[mine], minlength=len(self.keys))
-        self.counts[[ALL_WORDS, BEGIN]] = mine.sum(), trusted[self.full].sum()
-
-    def previous(self, x: np.ndarray, first: int) -> np.ndarray:
-        """``x`` of the word before each word, ``first`` where a text begins."""
-        out = np.empty_like(x)
-        out[1:] = x[:-1]
-        out[self.at[:-1][self.full]] = first
-        return out
-
-    def own(self, places: np.ndarray) -> np.ndarray:
-        """How often each word's entry occurs in its text, 0 in a text that isn't trusted."""
-        out, mine = np.zeros(len(places), np.int64), np.flatnonzero(self.trusted[self.row])
-        _, inverse, times = np.unique(self.row[mine] * len(self.keys) + places[mine], return_inverse=True, return_counts=True)
-        out[mine] = times[inverse]
-        return out
-
-    def losses(self, total: np.ndarray, lower: np.ndarray, shards: list) -> tuple[np.ndarray, np.ndarray]:
-        """-log P of each text by words, given the counts of ``keys`` over all trusted text, and by characters alone."""
-        logs, at = character_logs(self.raw, self.offsets, lower, shards)
-        sums = np.concatenate(([0.0], np.cumsum(logs)))
-        # A word's characters include the white space up to the next; what comes before a text's first word is its own.
-        ends = np.append(self.starts[1:], len(logs))[: len(self.starts)]
-        ends[self.at[1:][self.full] - 1] = at[1:][self.full]
-        base = sums[ends] - sums[self.starts]
-        firsts = at[1:].copy()
-        firsts[self.full] = self.starts[self.at[:-1][self.full]]
-        # A trusted text's own occurrences are taken off.
-        own = self.own(self.word)
-        one = total[self.word] - own
-        two = total[self.pair] - self.own(self.pair)
-        before = self.previous(total[self.word], total[BEGIN]) - self.previous(own, 1) * self.trusted[self.row]
-        everything = (total[ALL_WORDS] - np.diff(self.at) * self.trusted)[self.row]
-        p = (one + WORD * np.exp(base)) / (everything + WORD)
-        p = (two + BIGRAM * p) / (before + BIGRAM)
-        # Where a very long word's characters underflow: the weights of the lower orders times Q, in logarithms.
-        deep = base + math.log(BIGRAM * WORD) - np.log(before + BIGRAM) - np.log(everything + WORD)
-        loss = np.bincount(self.row, np.where(p > 1e-290, np.log(np.maximum(p, 1e-290)), deep), len(self.trusted))
-        return -(loss + sums[firsts] - sums[at[:-1]]), sums[at[:-1]] - sums[at[1:]]
-
-
-def _packed(x: np.ndarray) -> bytes:
-    """Whole numbers by byte planes, high ones first, which compress when the numbers are small."""
-    return np.ascontiguousarray(x.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _unpacked(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.int64)
-
-
-def word_losses(docs: DataFrame, trusted: DataFrame, model: tuple) -> DataFrame:
-    """doc_id, lang, trusted, n_symbols, loss and char_loss (-log P by words, by characters) of every row of ``docs``; ``model``: the characters'."""
-    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", "lang")}
-    rows = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+def probabilities(counts: DataFrame) -> DataFrame:
+    """shard, k, p: the interpolated probability of every n-gram of ``counts`` (shard, k, c: its count in training text, which may be 0)."""
+    lower = lambda c, order: F.col(c).bitwiseAND((1 << BITS * (order - 1)) - 1)
+    tables, needed = {ORDER: counts.filter("c > 0").select("k", "c")}, {ORDER: counts.select("shard", "k")}
+    for order in range(ORDER, 1, -1):
+        tables[order - 1] = materialize(tables[order].groupBy(lower("k", order).alias("k")).agg(F.count(F.lit(1)).alias("c")), "counts")
+        needed[order - 1] = needed[order].select(lower("k", order).alias("k")).distinct()
+    p = None
+    for order in range(1, ORDER + 1):
+        share, weight = with_discounts(tables[order])
+        rows = needed[order].join(share, "k", "left").withColumn("x", F.shiftright("k", BITS)).join(weight, "x", "left")
+        if p is None:
+            rows = rows.withColumn("low", F.lit(1.0 / (1 << BITS)))
+        else:
+            rows = rows.withColumn("x", lower("k", order)).join(p.select(F.col("k").alias("x"), F.col("p").alias("low")), "x")
+        value = F.when(F.col("g").isNull(), F.col("low")).otherwise(F.coalesce("a", F.lit(0.0)) + F.col("g") * F.col("low"))
+        p = materialize(rows.select(*needed[order].columns, value.alias("p")), "probabilities")
+    return p
+
+
+def score(docs: DataFrame, trusted: DataFrame, carried: list[str]) -> DataFrame | None:
+    """``carried``, trusted, held, n_symbols, loss (-log P) of every row of ``docs``; None without training text. ``trusted``: doc_id, held."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
     chunks = max(1, math.ceil(size / CHUNK_BYTES))
-    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks))
-    rows = rows.withColumn("chunk", F.when(F.col("doc_id").isNull(), deal(F.col("text"))).otherwise(deal(F.col("doc_id").cast("string"))))
-    ids = trusted.select(deal(F.col("doc_id").cast("string")).alias("chunk"), F.col("doc_id").cast(kinds["doc_id"]).alias("id"))
-    context = docs.sparkSession.sparkContext
-    lower, shards = context.broadcast(model[0].ravel()), [context.broadcast(s) for s in model[1]]
-    number = max(1, math.ceil(size / SHARE_BYTES))
-    context._jvm.System.gc()  # releases what the character model's joins have shuffled
-
-    def chunk_of(left: pa.Table, right: pa.Table) -> Chunk:
-        good = right.column("id").combine_chunks().drop_null()
-        return Chunk(left.column("text").combine_chunks(), pc.is_in(left.column("doc_id").combine_chunks(), good, skip_nulls=True).to_numpy(zero_copy_only=False))
-
-    def spans(keys: np.ndarray) -> np.ndarray:
-        bounds = np.array([(i << KEY_BITS) // number for i in range(1, number)], np.uint64)
-        return np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)]))
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in carried}
+    ids = trusted.select(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(chunks)).alias("chunk"), F.col("doc_id").cast(kinds["doc_id"]).alias("id"), "held")
+    rows = packed(docs, chunks, carried)
+    number = max(1, min(MOST_SHARDS, math.ceil(size / 50 / SHARE)))  # a chunk's distinct n-grams are about a fiftieth of its characters
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["chunk", "shard", "keys", "counts"]
         if not left.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())], names)
-        c = chunk_of(left, right)
-        at, me = spans(c.keys), left.column("chunk")[0].as_py()
-        use = [i for i in range(number) if at[i] < at[i + 1]]
-        keys = [_packed(np.diff(c.keys[at[i] : at[i + 1]], prepend=np.uint64(0))) for i in use]
-        counts = [_packed(c.counts[at[i] : at[i + 1]]) for i in use]
-        return pa.Table.from_arrays([pa.array([me] * len(use), pa.int64()), pa.array(use, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names)
-
-    def answer(asked: pa.Table) -> pa.Table:
-        keys = [np.cumsum(_unpacked(k.as_py())) for k in asked.column("keys")]
-        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.zeros(int(inverse.max()) + 1, np.int64)
-        np.add.at(sums, inverse, np.concatenate([_unpacked(c.as_py()) for c in asked.column("counts")]))
-        at = np.cumsum([0, *map(len, keys)])
-        found = [_packed(sums[inverse[lo:hi]]) for lo, hi in zip(at[:-1], at[1:])]
-        return pa.Table.from_arrays([asked.column("chunk").combine_chunks(), asked.column("shard").combine_chunks(), pa.array(found, pa.binary())], ["chunk", "shard", "sums"])
+        keys, counts = Chunk(left, right, carried).counts()
+        shard = (mix64(keys.view(np.uint64)) % np.uint64(number)).astype(np.int64)
+        own = [(i, shard == i) for i in np.unique(shard).tolist()]
+        me = left.column("chunk")[0].as_py()
+        return pa.Table.from_arrays([pa.array([me] * len(own), pa.int64()), pa.array([i for i, _ in own], pa.int64()), pa.array([_planes(np.diff(keys[m], prepend=0)) for _, m in own], pa.binary()), pa.array([_planes(counts[m]) for _, m in own], pa.binary())], names)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The n-grams of a partition's shards, merged as they come."""
+        last, keys, counts, n = None, [], [], 0
+
+        def out() -> pa.RecordBatch:
+            k, c = merged(keys, counts)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), last), pa.int64()), pa.array(k), pa.array(c)], ["shard", "k", "c"])
+
+        for b in batches:
+            for shard, k, c in zip(*(b.column(x).to_pylist() for x in ("shard", "keys", "counts"))):
+                if keys and shard != last:
+                    yield out()
+                    keys, counts, n = [], [], 0
+                last = shard
+                keys.append(_keys(k))
+                counts.append(_numbers(c))
+                n += len(keys[-1])
+                if len(keys) > 1 and n > 2 * len(keys[0]) + SHARE:
+                    merged_ = merged(keys, counts)
+                    keys, counts, n = [merged_[0]], [merged_[1]], len(merged_[0])
+        if keys:
+            yield out()
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each shard's probabilities come first, then its chunks' n-grams, which are answered at once."""
+        shard, keys, logs, parts = None, np.zeros(0, np.int64), np.zeros(0, np.float32), []
+        for b in batches:
+            found: list[tuple] = []
+            at, whose = b.column("shard").to_numpy(), b.column("chunk").is_null().to_numpy(zero_copy_only=False)
+            k, p = b.column("k").to_numpy(zero_copy_only=False), b.column("p").to_numpy(zero_copy_only=False)
+            cut = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (whose[1:] != whose[:-1])) + 1).tolist(), len(at)]
+            for lo, hi in zip(cut, cut[1:]):
+                if lo == hi:
+                    continue
+                if at[lo] != shard:
+                    shard, parts, keys = at[lo], [], None
+                if whose[lo]:
+                    parts.append((k[lo:hi].astype(np.int64), np.log(p[lo:hi]).astype(np.float32)))
+                    keys = None
+                    continue
+                if keys is None:
+                    keys, logs = (np.concatenate(x) for x in zip(*parts))
+                    order = np.argsort(keys)
+                    keys, logs = keys[order], logs[order]
+                    parts = [(keys, logs)]
+                for i in range(lo, hi):
+                    asked = b.column("keys")[i].as_py()
+                    found.append((b.column("chunk")[i].as_py(), asked, logs[np.searchsorted(keys, _keys(asked))].tobytes()))
+            chunk, asked, values = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(asked, pa.binary()), pa.array(values, pa.binary())], ["chunk", "keys", "logs"])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["doc_id", "lang", "trusted", "n_symbols", "loss", "char_loss"]
+        names = [*carried, "trusted", "held", "n_symbols", "loss"]
         if not left.num_rows:
-            kept = [left.column(0).combine_chunks(), left.column(1).combine_chunks()]
-            return pa.Table.from_arrays([*kept, pa.array([], pa.bool_()), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.float64())], names)
-        c = chunk_of(left, right)
-        replies = right.filter(pc.is_valid(right.column("sums"))).sort_by("shard")
-        total = np.concatenate([_unpacked(x.as_py()) for x in replies.column("sums")])
-        loss, char_loss = c.losses(total, lower.value, [s.value for s in shards])
-        return pa.Table.from_arrays([left.column(0).combine_chunks(), left.column(1).combine_chunks(), pa.array(c.trusted), pa.array(np.diff(c.chars)), pa.array(loss), pa.array(char_loss)], names)
-
-    by = lambda t: t.groupBy("chunk")
-    asked = by(rows).cogroup(by(ids)).applyInArrow(ask, "chunk long, shard long, keys binary, counts binary")
-    answers = asked.groupBy("shard").applyInArrow(answer, "chunk long, shard long, sums binary")
-    right = ids.withColumn("shard", F.lit(None).cast("long")).withColumn("sums", F.lit(None).cast("binary")).unionByName(answers.withColumn("id", F.lit(None).cast(kinds["doc_id"])))
-    return by(rows).cogroup(by(right)).applyInArrow(finish, f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, trusted boolean, n_symbols long, loss double, char_loss double")
-
-
-def classify(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, shrunk_loss, threshold, char_loss, char_threshold, trusted, keep for every row of ``docs``; ``trusted``: the doc_ids of trusted documents."""
+            kept = [pc.list_flatten(left.column(c).combine_chunks()) for c in carried]
+            return pa.Table.from_arrays([*kept, *(pa.array([], t) for t in (pa.bool_(), pa.bool_(), pa.int64(), pa.float64()))], names)
+        chunk = Chunk(left, right, carried)
+        replies = right.filter(pc.is_valid(right.column("keys")))
+        keys = np.concatenate([np.zeros(0, np.int64), *(_keys(k.as_py()) for k in replies.column("keys"))])
+        logs = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(v.as_py(), np.float32) for v in replies.column("logs"))])
+        order = np.argsort(keys)
+        n, loss = chunk.losses(keys[order], logs[order])
+        return pa.Table.from_arrays([*chunk.columns, pa.array(chunk.trains | chunk.held), pa.array(chunk.held), pa.array(n), pa.array(loss)], names)
+
+    by = lambda t, c="chunk": t.groupBy(c)
+    asked = materialize(by(rows).cogroup(by(ids)).applyInArrow(ask, "chunk long, shard long, keys binary, counts binary"), "asked")
+    docs.sparkSession.sparkContext._jvm.System.gc()  # releases the packed texts that were shuffled for asking
+    counts = materialize(asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "shard long, k long, c long"), "counts")
+    if counts.filter("c > 0").isEmpty():
+        return None
+    none = lambda **kinds: [F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
+    p = probabilities(counts).select("shard", "k", "p", *none(chunk="long", keys="binary"))
+    both = p.unionByName(asked.select("shard", *none(k="long", p="double"), "chunk", "keys"))
+    answers = both.repartition("shard").sortWithinPartitions("shard", F.col("chunk").asc_nulls_first()).mapInArrow(answer, "chunk long, keys binary, logs binary")
+    right = ids.select("chunk", "id", "held", *none(keys="binary", logs="binary")).unionByName(answers.select("chunk", F.lit(None).cast(kinds["doc_id"]).alias("id"), *none(held="boolean"), "keys", "logs"))
+    schema = ", ".join(f"{c} {t}" for c, t in kinds.items())
+    return by(rows).cogroup(by(right)).applyInArrow(finish, f"{schema}, trusted boolean, held boolean, n_symbols long, loss double")
+
+
+def classify(docs: DataFrame, trusted: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, ``carried``, n_symbols, perplexity, shrunk_loss, threshold, trusted, held_out, keep for every row of ``docs``; ``trusted``: the doc_ids of trusted documents."""
+    names = ["doc_id", "lang", *carried]
     trusted = trusted.select("doc_id").filter("doc_id is not null").distinct()
-    model = train(docs.join(trusted.hint("merge"), "doc_id", "left_semi").select(F.col("text").cast("string")))
-    if model is None:
-        rows = score(docs, None).withColumns({"trusted": F.lit(False), "char_loss": F.col("loss")})
-    else:
-        rows = materialize(word_losses(docs, trusted, model), "losses")
-    kinds = {"shrunk_loss": "loss", "char_loss": "char_loss"}
-    known = rows.filter(F.col("trusted") & (F.col("n_symbols") > 0))
-    mean = lambda c: F.sum(c) / F.sum("n_symbols")
-    means = known.groupBy("lang").agg(*[mean(c).alias(f"m_{k}") for k, c in kinds.items()], F.count(F.lit(1)).alias("of"))
-    rows = rows.crossJoin(F.broadcast(known.agg(*[mean(c).alias(f"all_{k}") for k, c in kinds.items()])))  # one row
-    rows = rows.join(means, rows["lang"].eqNullSafe(means["lang"]), "left").drop(means["lang"])
-    rows = rows.withColumn("own", F.coalesce(F.col("of"), F.lit(0)) >= LEAST_TRUSTED)
-    m = {k: F.when(F.col("own"), F.col(f"m_{k}")).otherwise(F.col(f"all_{k}")) for k in kinds}
-    shrunk = [F.when(F.col("n_symbols") > 0, (F.col(c) + PRIOR * m[k]) / (F.col("n_symbols") + PRIOR)).alias(k) for k, c in kinds.items()]
-    rows = materialize(rows.select("doc_id", "lang", "trusted", "n_symbols", "loss", "own", *shrunk), "losses")
-    known = rows.filter(F.col("trusted") & (F.col("n_symbols") > 0))
-    def limit(k: str):
-        if k == "shrunk_loss":
-            return F.percentile_approx(k, QUANTILE, 10_000)
-        c = F.percentile_approx(k, [0.5, CHAR_QUANTILE], 10_000)
-        return c[1] + MARGIN * (c[1] - c[0])
-
-    limits = known.filter("own").groupBy("lang").agg(*[limit(k).alias(f"t_{k}") for k in kinds])
-    rows = rows.crossJoin(F.broadcast(known.agg(*[limit(k).alias(f"all_{k}") for k in kinds])))
-    rows = rows.join(limits, rows["lang"].eqNullSafe(limits["lang"]), "left").drop(limits["lang"])
-    threshold = {k: F.when(F.col("own"), F.col(f"t_{k}")).otherwise(F.col(f"all_{k}")) for k in kinds}
-    within = [F.coalesce(F.col(k) <= threshold[k], F.lit(True)) for k in kinds]
+    trusted = trusted.withColumn("held", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(41)), F.lit(HELD_OUT)) == 0)
+    rows = score(docs, trusted, names)
+    if rows is None:
+        nothing = {"shrunk_loss": F.lit(None).cast("double"), "perplexity": F.lit(None).cast("double"), "threshold": F.lit(None).cast("double")}
+        rows = docs.select(*names, F.length(F.col("text").cast("string")).cast("long").alias("n_symbols")).withColumns(nothing)
+        return rows.select(*names, F.coalesce("n_symbols", F.lit(0).cast("long")).alias("n_symbols"), "perplexity", "shrunk_loss", "threshold", F.lit(False).alias("trusted"), F.lit(False).alias("held_out"), F.coalesce(F.col("n_symbols") > 0, F.lit(False)).alias("keep"))
+    rows = materialize(rows, "losses")
+    known = "trusted and held and n_symbols > 0"
+    if rows.filter(known).isEmpty():
+        known = "trusted and n_symbols > 0"
+
+    def with_limit(rows: DataFrame, value: Column, name: str) -> DataFrame:
+        """Adds ``value`` over the known documents of a row's language, or over all where the language has few."""
+        own = rows.filter(known).groupBy("lang").agg(value.alias("_own"), F.count(F.lit(1)).alias("_of")).filter(F.col("_of") >= LEAST_HELD).select(F.col("lang").alias("_lang"), "_own")
+        rows = rows.crossJoin(F.broadcast(rows.filter(known).agg(value.alias("_all"))))  # one row
+        return rows.join(own, rows["lang"].eqNullSafe(own["_lang"]), "left").withColumn(name, F.coalesce("_own", "_all")).drop("_lang", "_own", "_all")
+
+    rows = with_limit(rows, F.sum("loss") / F.sum("n_symbols"), "mean")
+    shrunk = F.when(F.col("n_symbols") > 0, (F.col("loss") + PRIOR * F.col("mean")) / (F.col("n_symbols") + PRIOR))
+    rows = with_limit(materialize(rows.withColumn("shrunk_loss", shrunk).drop("mean"), "losses"), F.percentile_approx("shrunk_loss", QUANTILE, 10_000), "threshold")
     return rows.select(
-        "doc_id", "lang", "n_symbols", F.when(F.col("n_symbols") > 0, F.exp(F.col("loss") / F.col("n_symbols"))).alias("perplexity"), "shrunk_loss", threshold["shrunk_loss"].alias("threshold"),
-        "char_loss", threshold["char_loss"].alias("char_threshold"), "trusted", ((F.col("n_symbols") > 0) & within[0] & within[1]).alias("keep"),
+        *names, "n_symbols", F.when(F.col("n_symbols") > 0, F.exp(F.col("loss") / F.col("n_symbols"))).alias("perplexity"), "shrunk_loss", "threshold",
+        "trusted", F.col("held").alias("held_out"), ((F.col("n_symbols") > 0) & F.coalesce(F.col("shrunk_loss") <= F.col("threshold"), F.lit(True))).alias("keep"),
     )
 
 
@@ -408,10 +339,13 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity, its language's threshold and whether it is kept. Edge cases: see :mod:`quality`."""
     return classify(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with their columns."""
-    bad = classify(docs, trusted_ids(spark, sf_dir)).filter(~F.col("keep")).select("doc_id").distinct()
-    return docs.join(bad.filter("doc_id is not null").hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that the classifier keeps, with their columns; a row is decided on by doc_id and text together, either of which may be null."""
+    row = free_name(docs, "_row")
+    rows = docs.withColumn(row, row_key())
+    bad = classify(rows.select("doc_id", "lang", "text", F.col(row).alias("row")), trusted_ids(spark, sf_dir), ("row",)).filter(~F.col("keep")).select(F.col("row").alias(row)).distinct()
+    return rows.join(bad.hint("merge"), row, "left_anti").select(docs.columns)

@@ -390,29 +390,74 @@ def test_labels_are_drawn_once_and_conflicts_left_out(spark):
 
 
 def test_quality(spark, odd, none):
-    good = [text(3000 + i, 150) for i in range(60)]
+    good = [text(3000 + i, 150) for i in range(160)]
     junk = [" ".join(w.upper() + "###" for w in text(3500 + i, 80).split()) for i in range(6)]
     docs = frame(spark, good + junk)
-    trusted = spark.range(0, 40).withColumnRenamed("id", "doc_id")
+    trusted = spark.range(0, 120).withColumnRenamed("id", "doc_id")
     rows = {r["doc_id"]: r for r in quality.classify(docs, trusted).collect()}
-    assert sum(rows[i]["keep"] for i in range(60)) >= 58
-    assert not any(rows[i]["keep"] for i in range(60, 66))
-    assert quality.classify(docs, trusted.limit(0)).filter("keep").count() == 66
+    assert sum(rows[i]["keep"] for i in range(160)) >= 155
+    assert not any(rows[i]["keep"] for i in range(160, 166))
+    assert quality.classify(docs, trusted.limit(0)).filter("keep and threshold is null").count() == 166
     assert quality.classify(odd, trusted).count() == 11
+    assert quality.classify(odd, trusted).filter("keep and n_symbols = 0").count() == 0
     assert quality.classify(none, trusted).count() == 0
 
 
-def test_quality_shards_and_probabilities(spark, monkeypatch):
-    docs = frame(spark, [text(4000 + i, 100) for i in range(20)] + ["unseen Ω!"])
-    p3, shards = quality.train(docs.limit(20).select("text"))
-    index, rows = shards[0]
-    assert np.exp(rows[:, : quality.SYMBOLS]).sum(axis=1) == pytest.approx(1, abs=1e-3)
-    whole = {r["doc_id"]: r["loss"] for r in quality.score(docs, (p3, shards)).collect()}
-    monkeypatch.setattr(quality, "SHARD_CONTEXTS", 40)
-    model = quality.train(docs.limit(20).select("text"))
-    assert len(model[1]) > 1
-    parts = {r["doc_id"]: r["loss"] for r in quality.score(docs, model).collect()}
-    assert parts == pytest.approx(whole, rel=1e-4)
+def brute_losses(texts, train, order=quality.ORDER):
+    """-log P of each text by an interpolated modified Kneser-Ney model of the texts numbered in ``train``, with dictionaries."""
+
+    def grams(t):
+        s = [0] * (order - 1) + quality.symbols(np.array([ord(c) for c in t or ""], np.uint32)).tolist()
+        return [tuple(s[i : i + order]) for i in range(len(s) - order + 1)]
+
+    tables = {order: Counter(g for i in train for g in grams(texts[i]))}
+    for n in range(order, 1, -1):
+        tables[n - 1] = Counter(g[1:] for g in tables[n])
+    found = {n: quality.discounts([sum(c == k for c in t.values()) for k in range(1, 5)]) for n, t in tables.items()}
+    totals, cuts = collections.defaultdict(int), collections.defaultdict(float)
+    for n, t in tables.items():
+        for g, c in t.items():
+            totals[n, g[:-1]] += c
+            cuts[n, g[:-1]] += found[n][min(c, 3) - 1]
+
+    def p(g):
+        n = len(g)
+        low = p(g[1:]) if n > 1 else 1 / (1 << quality.BITS)
+        if not totals.get((n, g[:-1])):
+            return low
+        c = tables[n].get(g, 0)
+        return (max(0, c - found[n][min(c, 3) - 1]) if c else 0) / totals[n, g[:-1]] + cuts[n, g[:-1]] / totals[n, g[:-1]] * low
+
+    return [-sum(math.log(p(g)) for g in grams(t)) for t in texts]
+
+
+@pytest.mark.parametrize("chunk, share", [(16 << 20, 1 << 21), (900, 3)])
+def test_losses_match_brute_force(spark, monkeypatch, chunk, share):
+    texts = [text(6500 + i, 60) + (" ünseen\n слово 漢字" if i % 3 == 0 else "") for i in range(14)] + ["", "  ", None, "alone", "Ω!"]
+    monkeypatch.setattr(quality, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(quality, "SHARE", share)
+    monkeypatch.setattr(quality, "PACK_BYTES", chunk)
+    docs = frame(spark, texts).unionByName(frame(spark, [texts[3]]).withColumn("doc_id", F.lit(None).cast("long")))
+    trusted = spark.createDataFrame([(i, i % 4 == 0) for i in (0, 1, 2, 3, 4, 5, 6, 7, 16, 99)], "doc_id long, held boolean")
+    rows = {r["doc_id"]: r for r in quality.score(docs, trusted, ["doc_id", "lang"]).collect()}
+    want = brute_losses(texts, [1, 2, 3, 5, 6, 7])
+    assert len(rows) == len(texts) + 1
+    for i, t in enumerate(texts):
+        assert rows[i]["n_symbols"] == len(t or "") and rows[i]["loss"] == pytest.approx(want[i], rel=1e-5, abs=1e-6)
+        assert (rows[i]["trusted"], rows[i]["held"]) == (i in range(8) or i == 16, i in (0, 4, 16))
+    assert rows[None]["loss"] == pytest.approx(want[3], rel=1e-5) and not rows[None]["trusted"]
+    docs = frame(spark, [" "] * 3)
+    assert quality.score(docs, trusted.limit(0), ["doc_id", "lang"]) is None
+
+
+def test_probabilities_sum_to_one(spark):
+    symbols = sorted(set(quality.symbols(np.array([ord(c) for c in text(1, 50)], np.uint32)).tolist()))
+    keys, _ = quality.ngrams(np.frombuffer((t := text(1, 50)).encode(), np.uint8), np.array([0, len(t)]))
+    seen = Counter(keys.tolist())
+    context = max(seen, key=seen.get) >> quality.BITS << quality.BITS
+    rows = [(0, int(context | s), seen.get(int(context | s), 0)) for s in range(1 << quality.BITS)] + [(0, k, c) for k, c in seen.items() if k >> quality.BITS != context >> quality.BITS]
+    found = quality.probabilities(spark.createDataFrame(rows, "shard long, k long, c long")).filter(F.shiftright("k", quality.BITS) == context >> quality.BITS)
+    assert found.agg(F.sum("p")).first()[0] == pytest.approx(1, abs=1e-9) and len(symbols) > 5
 
 
 def test_words_in_a_bad_order_are_not_kept(spark):
@@ -424,48 +469,35 @@ def test_words_in_a_bad_order_are_not_kept(spark):
             w = (5 * w + r.choice((1, 7))) % len(WORDS)
         return out
 
-    good = [ordered(6000 + i, 150) for i in range(60)]
-    junk = [random.Random(i).sample(g, len(g)) for i, g in enumerate(good[40:46])]
+    good = [ordered(6000 + i, 150) for i in range(160)]
+    junk = [random.Random(i).sample(g, len(g)) for i, g in enumerate(good[140:146])]
     docs = frame(spark, [" ".join(t) for t in good + junk])
-    rows = {r["doc_id"]: r["keep"] for r in quality.classify(docs, spark.range(0, 40).withColumnRenamed("id", "doc_id")).collect()}
-    assert sum(rows[i] for i in range(60)) >= 58 and not any(rows[i] for i in range(60, 66))
-
-
-def test_thresholds_are_quantiles_of_trusted_text(spark):
-    docs = frame(spark, [text(6800 + i, 40 + i) for i in range(60)])
-    rows = quality.classify(docs, spark.range(0, 50).withColumnRenamed("id", "doc_id")).collect()
-    ranks = {k: sorted(r[k] for r in rows if r["trusted"]) for k in ("shrunk_loss", "char_loss")}
-    assert {r["threshold"] for r in rows} == {ranks["shrunk_loss"][math.ceil(0.995 * 50) - 1]}
-    median, high = ranks["char_loss"][24], ranks["char_loss"][math.ceil(0.95 * 50) - 1]
-    assert all(r["char_threshold"] == pytest.approx(2 * high - median) for r in rows)
-    assert all(r["keep"] == (r["shrunk_loss"] <= r["threshold"] and r["char_loss"] <= r["char_threshold"]) for r in rows)
-
-
-def test_word_counts_match_brute_force(spark, monkeypatch):
-    texts = [text(6500 + i, 60) + (" ünseen\n word" if i % 3 == 0 else "") for i in range(12)] + ["", "  ", None, "alone"]
-    trusted = set(range(8)) | {12}
-    docs = frame(spark, texts)
-    monkeypatch.setattr(quality, "CHUNK_BYTES", 600)
-    monkeypatch.setattr(quality, "SHARE_BYTES", 900)
-    model = quality.train(docs.filter(F.col("doc_id").isin(*trusted)).select("text"))
-    base = {r["doc_id"]: r["loss"] for r in quality.score(docs, model).collect()}
-    found = {r["doc_id"]: r for r in quality.word_losses(docs, docs.filter(F.col("doc_id").isin(*trusted)).select("doc_id"), model).collect()}
-    assert {i: r["char_loss"] for i, r in found.items()} == pytest.approx(base, rel=1e-4)
-    for i, t in enumerate(texts):
-        assert found[i]["trusted"] == (i in trusted)
-        seen = [("", *texts[j].split()) for j in trusted if j != i and texts[j]]  # a trusted text's own counts are taken off
-        one, two = Counter(w for s in seen for w in s), Counter(p for s in seen for p in zip(s, s[1:]))
-        total, t = sum(len(s) - 1 for s in seen), t or ""
-        raw = np.frombuffer(t.encode(), np.uint8)
-        logs, _ = quality.character_logs(raw, np.array([0, len(raw)]), model[0].ravel(), model[1])
-        spans = [m.span() for m in re.finditer(r"\S+\s*", t)]
-        loss, last = -logs[: spans[0][0] if spans else len(t)].sum(), ""
-        for lo, hi in spans:
-            w = t[lo:hi].strip()
-            p = (one[w] + quality.WORD * np.exp(logs[lo:hi].sum())) / (total + quality.WORD)
-            loss -= np.log((two[last, w] + quality.BIGRAM * p) / (one[last] + quality.BIGRAM))
-            last = w
-        assert found[i]["loss"] == pytest.approx(loss, rel=1e-6, abs=1e-9), i
+    rows = {r["doc_id"]: r["keep"] for r in quality.classify(docs, spark.range(0, 120).withColumnRenamed("id", "doc_id")).collect()}
+    assert sum(rows[i] for i in range(160)) >= 155 and not any(rows[i] for i in range(160, 166))
+
+
+def test_thresholds_are_quantiles_of_held_out_trusted_text(spark):
+    docs = frame(spark, [text(6800 + i, 40 + i % 60) for i in range(160)]).withColumn("lang", F.when(F.col("doc_id") >= 150, "xx").otherwise("en"))
+    rows = quality.classify(docs, spark.range(0, 155).withColumnRenamed("id", "doc_id")).collect()
+    held = sorted(r["shrunk_loss"] for r in rows if r["held_out"] and r["lang"] == "en")
+    every = sorted(r["shrunk_loss"] for r in rows if r["held_out"])
+    assert len(held) >= quality.LEAST_HELD and all(r["trusted"] for r in rows if r["held_out"])
+    assert {r["threshold"] for r in rows if r["lang"] == "en"} == {held[math.ceil(0.99 * len(held)) - 1]}
+    assert {r["threshold"] for r in rows if r["lang"] == "xx"} == {every[math.ceil(0.99 * len(every)) - 1]}
+    assert all(r["keep"] == (r["shrunk_loss"] <= r["threshold"]) for r in rows)
+
+
+def test_keep_good_decides_by_row(spark, tmp_path, odd, none):
+    spark.range(0, 100).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")).write.parquet(str(tmp_path / "labels.parquet"))
+    good, junk = [text(7000 + i, 100) for i in range(120)], " ".join(w.upper() + "###" for w in text(7500, 80).split())
+    rows = frame(spark, good).withColumn("_row", F.lit(5))
+    more = spark.createDataFrame([(110, junk), (None, junk), (None, good[3]), (115, good[115]), (115, None)], "doc_id long, text string")
+    docs = rows.unionByName(more, allowMissingColumns=True)
+    out = quality.keep_good(spark, docs, str(tmp_path))
+    kept = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert out.columns == docs.columns
+    assert not any(t == junk or t is None for _, t in kept) and kept[110, good[110]] == 1 and kept[None, good[3]] == 1 and kept[115, good[115]] == 2
+    assert quality.keep_good(spark, none, str(tmp_path)).count() == 0
 
 
 def test_pipeline_stages_keep_the_columns(spark, tmp_path):
