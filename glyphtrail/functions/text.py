@@ -59,6 +59,36 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+def similarities(a: list[str], b: list[str]) -> np.ndarray:
+    """:func:`similarity` of each pair of texts, all pairs side by side."""
+    n, m = (np.array([len(t) for t in x], np.int64) for x in (a, b))
+    out = np.ones(len(a))
+    unlike = np.flatnonzero([x != y for x, y in zip(a, b)])
+    if not len(unlike):
+        return out
+    left, right = (_grid([x[i] for i in unlike]) for x in (a, b))
+    n, m = n[unlike], m[unlike]
+    across = np.arange(right.shape[1] + 1)
+    row = np.tile(across, (len(unlike), 1))
+    edits = np.where(n == 0, m, 0)
+    for i in range(left.shape[1]):
+        # Deletions and substitutions come from the row above; insertions spread from the left, as a running minimum.
+        cell = np.concatenate((row[:, :1] + 1, np.minimum(row[:, 1:] + 1, row[:, :-1] + (right != left[:, i : i + 1]))), axis=1)
+        row = np.minimum.accumulate(cell - across, axis=1) + across
+        done = n == i + 1
+        edits[done] = row[done, m[done]]
+    out[unlike] = 1 - edits / np.maximum(n, m)
+    return out
+
+
+def _grid(texts: list[str]) -> np.ndarray:
+    """[text, place] of code points, filled up with a number that no text has."""
+    out = np.full((len(texts), max(map(len, texts))), 0xFFFFFFFF, np.uint32)
+    for i, t in enumerate(texts):
+        out[i, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
+
+
 def window_scores(texts: list[str], needle: str) -> np.ndarray:
     """For each text the best 1 - distance / max(n, L) over its windows of n - r to n + r characters, r = max(1, ceil(0.2 n)); 0 without a window."""
     n = len(needle)
