@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,9 +34,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = smallest(both).withColumn("m", F.least("a", "m"))
         large = materialize(down(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.filter("m < a").select("a", F.col("m").alias("b")))), "edges")
+        discard(stars)
         least = smallest(large)
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         stars = materialize(down(small.unionByName(least.select("a", F.col("m").alias("b")))), "edges")
+        discard(large)
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 

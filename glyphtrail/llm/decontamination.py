@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_words, shingle_hashes, slices, table, utf8_views
+from .common import free_name, hash_words, row_key, shingle_hashes, slices, table, utf8_views
 
 SHINGLE, SIMILARITY, RADIUS, SLACK = 5, 0.75, 3, 2
 BLOCK_WORDS = 1 << 20
@@ -216,6 +216,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with their columns."""
-    held = matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").filter("doc_id is not null").distinct()
-    return docs.join(held.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that hold no benchmark item, with their columns; a row is decided on by doc_id and text together, either of which may be null."""
+    row = free_name(docs, "_row")
+    rows = docs.withColumn(row, row_key())
+    held = matches(rows.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(row)).distinct()
+    return rows.join(held.hint("merge"), row, "left_anti").select(docs.columns)

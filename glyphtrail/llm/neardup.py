@@ -1,15 +1,16 @@
 """Near-duplicate groups by a multi-index Hamming join of MinHash signatures, confirmed on whole shingle sets.
 
 1. Each text's distinct 5-word shingles give a signature of ``SLOTS`` minima. Texts of equal sets form a class; from
-   here on only a class's smallest doc_id is worked on, so copies cost one aggregated row.
-2. The first ``KEYS`` slots are split into ``CHUNKS`` chunks of ``WIDTH``. By the pigeonhole principle two signatures that differ
-   there in at most 2 * CHUNKS - 1 slots have a chunk with at most one differing slot; each chunk is entered once for
-   each slot left out (the allowed error), so all such pairs meet under a common key. (At a similarity of just
-   0.75 a pair has no common key with a probability of 2e-6.)
+   here on only one row of a class is worked on, so copies cost one aggregated row.
+2. Signatures are split into ``CHUNKS`` chunks of ``WIDTH`` slots. By the pigeonhole principle two that differ in at most
+   ``REACH`` = 2 * CHUNKS - 1 slots have a chunk with at most one differing slot; each chunk is entered once for each slot
+   left out (the allowed error), so all pairs within REACH meet under a common key. REACH is the one threshold of
+   signatures: pairs beyond it aren't compared. (Two texts of a similarity of just 0.75 differ in 16 slots on average with a
+   deviation of 3.5, and in more than REACH with a probability of about 2e-5.)
 3. Each member of a key is paired with the key's smallest member only, and the pairs are confirmed: the sets' sizes
    must satisfy 100 * shared >= 75 * all. The links give components; most keys then hold a single one.
 4. Keys that still hold several components give a spanning forest of their members whose whole signatures differ in
-   at most ``REACH`` slots. What the forests connect is a block; within a block all sets of different components are
+   at most REACH slots. What the forests connect is a block; within a block all sets of different components are
    joined exactly, in the task, by their rarest members. So no link between different texts is lost to the stars of
    step 3, and no pair is written but those that join components. Large keys and blocks are dealt in pairs of pieces.
 
@@ -17,8 +18,9 @@ Confirmation streams the texts of the pairs, grouped by their first text and sal
 the corpus is shuffled once, to fetch the members' texts.
 
 Edge cases: null and empty texts and texts of white space have no shingles and are linked with nothing; fewer than
-five words are one shingle; repeated rows form a class; rows with a null doc_id get a null component; an empty table
-gives an empty result.
+five words are one shingle; repeated rows form a class; a repeated doc_id may be in several groups, each row in that of its
+text; rows with a null doc_id are grouped like others, but a group of such rows alone has a null component; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,17 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_words, materialize, mix64, shingle_hashes, slices, table, utf8_views
+from .common import discard, free_name, hash_words, materialize, mix64, row_key, shingle_hashes, slices, table, utf8_views
 from .components import components, extended
 
-SHINGLE, CHUNKS, WIDTH = 5, 10, 4
-KEYS = CHUNKS * WIDTH
-#: Slots of a whole signature; the first KEYS of them are entered under keys.
-SLOTS = 64
-#: Signatures that differ in more slots are not compared. Pairs of similarity 0.75 differ in 16 on average, with a deviation of 3.5.
-REACH = 30
+SHINGLE, CHUNKS, WIDTH = 5, 16, 4
+#: Slots of a signature, each in one chunk, and the most that two compared signatures differ in.
+SLOTS = CHUNKS * WIDTH
+REACH = 2 * CHUNKS - 1
 #: Members of a key, pairs of a first text, and bytes of a block that one task reads (of the first and last, twice as many).
-BLOCK, PER_TASK, BLOCK_BYTES = 16_384, 5_000, 8 << 20
+BLOCK, PER_TASK, BLOCK_BYTES = 4_096, 5_000, 8 << 20
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 32, SLOTS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _RNG.integers(0, 1 << 32, SLOTS, dtype=np.uint64).astype(np.uint32)
@@ -69,11 +69,11 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set), signature of every row of ``docs`` (doc_id, text)."""
+    """row (see :func:`common.row_key`), doc_id, n_shingles, set_key (null for an empty set), signature of every row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, offsets = utf8_views(b.column(1))
+            raw, offsets = utf8_views(b.column(2))
             n, keys, signs = [], [], []
             for lo, hi in slices(offsets):
                 sets = shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
@@ -82,9 +82,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 n += [len(s) for s in sets]
                 keys += [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 signs += [next(rows).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "set_key", "signature"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], ["row", "doc_id", "n_shingles", "set_key", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary")
+    rows = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "row binary, doc_id long, n_shingles long, set_key binary, signature binary")
 
 
 def chunk_keys(classes: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)
-                s = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, SLOTS)[:, :KEYS].reshape(-1, CHUNKS, WIDTH).astype(np.uint64)
+                s = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, CHUNKS, WIDTH).astype(np.uint64)
                 keys = np.empty((len(s), CHUNKS, WIDTH), np.uint64)
                 for out in range(WIDTH):
                     h = np.arange(1, CHUNKS + 1, dtype=np.uint64)[None, :] * np.uint64(WIDTH) + np.uint64(out)
@@ -102,7 +103,7 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
                         if j != out:
                             h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + s[:, :, j])
                     keys[:, :, out] = h
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), KEYS))], ["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), SLOTS))], ["key", "id"])
 
     return classes.select("id", "signature").mapInArrow(run, "key long, id long")
 
@@ -259,9 +260,9 @@ def settle(members: DataFrame, texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Groups:
-    #: doc_id, n_shingles, set_key of every row.
+    #: row, doc_id, n_shingles, set_key of every row.
     rows: DataFrame
-    #: set_key, id: the classes of equal sets and their smallest doc_id.
+    #: set_key, id, first: the classes of equal sets, their numbers, and the doc_id and row that come first in them.
     classes: DataFrame
     #: a, b: confirmed links between classes that span every component.
     links: DataFrame
@@ -272,22 +273,27 @@ class Groups:
 def group(docs: DataFrame) -> Groups:
     """Near-duplicate groups of ``docs`` (doc_id, text)."""
     rows = materialize(signatures(docs), "signatures")
-    classes = rows.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"))
-    classes = materialize(classes, "classes")
-    keys = chunk_keys(classes)
-    keyed = keys.repartition("key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    classes = rows.filter("set_key is not null").groupBy("set_key").agg(first, F.any_value("signature").alias("signature"))
+    # Numbered as they are written: the numbers are those of the table, whatever is computed again before it is there.
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    keyed = chunk_keys(classes).repartition("key")
     pivots = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("key", "first")
     members = materialize(keyed.join(pivots, "key"), "members")
     stars = materialize(members.filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "stars")
     ids = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids.hint("merge"), "id", "left_semi")  # the ids grow with the corpus: shuffled at every size
-    texts = materialize(texts, "texts")
-    links = materialize(confirm(materialize(near_only(stars, classes), "near"), texts), "links")
+    ids = ids.join(classes.select("id", F.col("first.row").alias("row")), "id")
+    texts = docs.select(row_key().alias("row"), F.col("text").cast("string").alias("text")).join(ids.hint("merge"), "row")  # the rows grow with the corpus: shuffled at every size
+    texts = materialize(texts.dropDuplicates(["row"]).select("id", "text"), "texts")
+    near = materialize(near_only(stars, classes), "near")
+    links = materialize(confirm(near, texts), "links")
+    discard(stars, near)
     found = materialize(components(links), "components")
     placed = members.join(found, members["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     mixed = placed.join(mixed, "key").join(classes.select("id", "signature"), "id")
     forest = materialize(candidate_forest(mixed), "forest")
+    discard(members)
     if not forest.isEmpty():
         blocks = components(forest).select(F.col("node").alias("component"), F.col("component").alias("block"))
         own = found.select(F.col("node").alias("id"), "component").join(blocks, "component")
@@ -295,7 +301,8 @@ def group(docs: DataFrame) -> Groups:
         more = materialize(settle(own.unionByName(alone.select("component", "id", "block")).select("block", "id", "component"), texts), "links")
         links = links.unionByName(more)
         found = materialize(extended(found, more), "components")
-    return Groups(rows.drop("signature"), classes.select("set_key", "id"), links, found)
+    discard(texts)
+    return Groups(rows.drop("signature"), classes.select("set_key", "id", "first"), links, found)
 
 
 def near_only(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -313,17 +320,43 @@ def near_only(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def assign(groups: Groups) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
-    classes = groups.classes.join(groups.components, F.col("id") == F.col("node"), "left").select("set_key", F.coalesce("component", "id").alias("component"))
-    rows = groups.rows.join(classes, "set_key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
-    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    """row, doc_id, n_shingles, component_id (the group's smallest doc_id), component_row (the row key that comes first in it) of every row."""
+    classes = groups.classes.join(groups.components, F.col("id") == F.col("node"), "left").select("set_key", "first", F.coalesce("component", "id").alias("component"))
+    least = classes.groupBy("component").agg(F.min("first").alias("least"))
+    classes = classes.join(least, "component").select("set_key", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("component_row"))
+    rows = groups.rows.join(classes, "set_key", "left")
+    alone = F.col("set_key").isNull()
+    return rows.select("row", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("row")).otherwise(F.col("component_row")).alias("component_row"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (whether it has the group's smallest doc_id) of every row of ``docs``."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    return assign(group(docs)).select("doc_id", "n_shingles", "component_id", kept)
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign(group(table(spark, sf_dir, "documents")))
+    """Every document's shingles, group and whether it stands for it. Edge cases: see :mod:`neardup`."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: Parts that the copies of one row are dealt over when one of them is chosen.
+SALTS = 64
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: one row of each, the smallest doc_id's."""
-    dropped = assign(group(docs)).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that stand for their group, one of each: that of the smallest doc_id (null last), then of the smallest row key.
+
+    Of rows that are equal in doc_id and text one stays; rows without shingles belong to no group and stay.
+    """
+    row, salt = free_name(docs, "_row"), free_name(docs, "_salt")
+    placed = materialize(assign(group(docs)), "placed")
+    rows = docs.withColumn(row, row_key())
+    gone = placed.filter("row <> component_row").select(F.col("row").alias(row)).distinct()
+    rows = rows.join(gone.hint("merge"), row, "left_anti")
+    repeated = materialize(placed.filter("row = component_row and n_shingles > 0").groupBy(F.col("row").alias(row)).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(row), "repeated")
+    if not repeated.isEmpty():
+        some = rows.join(repeated.hint("merge"), row, "left_semi").withColumn(salt, (F.rand(7) * SALTS).cast("int"))
+        some = some.dropDuplicates([row, salt]).dropDuplicates([row]).drop(salt)
+        rows = rows.join(repeated.hint("merge"), row, "left_anti").unionByName(some)
+    return rows.select(docs.columns)

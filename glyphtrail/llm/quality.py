@@ -15,7 +15,8 @@ masks; their tables grow with the corpus and are only ever joined.
   documents are scored from the answers, characters in their order, over the whole text.
 * Threshold: the mean log-loss of a character, shrunk towards its language's mean by ``PRIOR`` characters (short texts are
   noisy), is held against the ``QUANTILE`` of its language's held-out trusted documents. Languages with fewer than
-  ``LEAST_HELD`` of those use the one over all.
+  ``LEAST_HELD`` of those use the one over all. Fewer documents than lie one beyond the quantile can't tell it: the limit is
+  then widened by its distance from the median, times the share of that one document that is missing.
 
 Edge cases: null and empty texts have no perplexity and are not kept; without trusted text everything else is
 kept, with a null threshold; without held-out trusted documents all trusted ones give the threshold; a null language is a
@@ -34,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, mix64, row_key, slices, table, utf8_views
+from .common import discard, free_name, materialize, mix64, release, row_key, slices, table, utf8_views
 from .langid import decode_utf8
 
 ORDER, BITS, LATIN = 5, 10, 0x250
@@ -202,7 +203,9 @@ def probabilities(counts: DataFrame) -> DataFrame:
         else:
             rows = rows.withColumn("x", lower("k", order)).join(p.select(F.col("k").alias("x"), F.col("p").alias("low")), "x")
         value = F.when(F.col("g").isNull(), F.col("low")).otherwise(F.coalesce("a", F.lit(0.0)) + F.col("g") * F.col("low"))
-        p = materialize(rows.select(*needed[order].columns, value.alias("p")), "probabilities")
+        last, p = p, materialize(rows.select(*needed[order].columns, value.alias("p")), "probabilities")
+        if last is not None:
+            discard(last, tables[order - 1])
     return p
 
 
@@ -291,12 +294,14 @@ def score(docs: DataFrame, trusted: DataFrame, carried: list[str]) -> DataFrame
 
     by = lambda t, c="chunk": t.groupBy(c)
     asked = materialize(by(rows).cogroup(by(ids)).applyInArrow(ask, "chunk long, shard long, keys binary, counts binary"), "asked")
-    docs.sparkSession.sparkContext._jvm.System.gc()  # releases the packed texts that were shuffled for asking
     counts = materialize(asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "shard long, k long, c long"), "counts")
     if counts.filter("c > 0").isEmpty():
         return None
     none = lambda **kinds: [F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
-    p = probabilities(counts).select("shard", "k", "p", *none(chunk="long", keys="binary"))
+    found = probabilities(counts)
+    discard(counts)
+    release(docs.sparkSession)  # the packed texts that were shuffled for asking
+    p = found.select("shard", "k", "p", *none(chunk="long", keys="binary"))
     both = p.unionByName(asked.select("shard", *none(k="long", p="double"), "chunk", "keys"))
     answers = both.repartition("shard").sortWithinPartitions("shard", F.col("chunk").asc_nulls_first()).mapInArrow(answer, "chunk long, keys binary, logs binary")
     right = ids.select("chunk", "id", "held", *none(keys="binary", logs="binary")).unionByName(answers.select("chunk", F.lit(None).cast(kinds["doc_id"]).alias("id"), *none(held="boolean"), "keys", "logs"))
@@ -304,6 +309,13 @@ def score(docs: DataFrame, trusted: DataFrame, carried: list[str]) -> DataFrame
     return by(rows).cogroup(by(right)).applyInArrow(finish, f"{schema}, trusted boolean, held boolean, n_symbols long, loss double")
 
 
+def limit(loss: str) -> Column:
+    """The aggregate that gives a threshold: the quantile, widened where too few documents give it."""
+    q = F.percentile_approx(loss, [0.5, QUANTILE], 10_000)
+    missing = F.greatest(F.lit(0.0), 1 - F.count(loss) * (1 - QUANTILE))
+    return q[1] + missing * (q[1] - q[0])
+
+
 def classify(docs: DataFrame, trusted: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang, ``carried``, n_symbols, perplexity, shrunk_loss, threshold, trusted, held_out, keep for every row of ``docs``; ``trusted``: the doc_ids of trusted documents."""
     names = ["doc_id", "lang", *carried]
@@ -327,7 +339,7 @@ def classify(docs: DataFrame, trusted: DataFrame, carried: tuple[str, ...] = ())
 
     rows = with_limit(rows, F.sum("loss") / F.sum("n_symbols"), "mean")
     shrunk = F.when(F.col("n_symbols") > 0, (F.col("loss") + PRIOR * F.col("mean")) / (F.col("n_symbols") + PRIOR))
-    rows = with_limit(materialize(rows.withColumn("shrunk_loss", shrunk).drop("mean"), "losses"), F.percentile_approx("shrunk_loss", QUANTILE, 10_000), "threshold")
+    rows = with_limit(materialize(rows.withColumn("shrunk_loss", shrunk).drop("mean"), "losses"), limit("shrunk_loss"), "threshold")
     return rows.select(
         *names, "n_symbols", F.when(F.col("n_symbols") > 0, F.exp(F.col("loss") / F.col("n_symbols"))).alias("perplexity"), "shrunk_loss", "threshold",
         "trusted", F.col("held").alias("held_out"), ((F.col("n_symbols") > 0) & F.coalesce(F.col("shrunk_loss") <= F.col("threshold"), F.lit(True))).alias("keep"),

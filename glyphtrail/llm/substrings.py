@@ -29,12 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _powers, materialize, mix64, slices, table, utf8_views
+from .common import _powers, free_name, materialize, mix64, slices, table, utf8_views
 
 LENGTH, GRAM = 200, 32
+#: Rows whose 64-bit hash is another's too: at 10^11 rows about 270 are to be expected.
+MOST_SHARED = 10_000
 REACH = LENGTH - GRAM + 1
 HOT = 20_000
 BLOCK = 1 << 21
@@ -354,9 +356,29 @@ def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], ["rid", "n_removed", "n_spans", "kept"])
 
 
+def row_ids(docs: DataFrame) -> Column:
+    """A 64-bit id of doc_id and text that is equal for repeated rows only.
+
+    It is a hash; the few rows whose hash is another row's too, found by a count over narrow rows, get one of another seed.
+    """
+    plain, other = F.xxhash64("doc_id", "text"), []
+    while True:
+        id_ = plain
+        for seed, shared in enumerate(other, 1):
+            id_ = F.when(id_.isin(shared), F.xxhash64(F.lit(seed), "doc_id", "text")).otherwise(id_)
+        rows = docs.select(id_.alias("id"), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary")).alias("md5"))
+        clash = rows.groupBy("id").agg(F.min("md5").alias("a"), F.max("md5").alias("b")).filter("a <> b").select("id")
+        shared = [r["id"] for r in clash.limit(MOST_SHARED + 1).collect()]
+        if not shared:
+            return id_
+        if len(shared) > MOST_SHARED:
+            raise RuntimeError(f"more than {MOST_SHARED} rows share a 64-bit hash")
+        other.append(shared)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with rid: equal for repeated rows only."""
-    return docs.withColumn("rid", F.xxhash64("doc_id", "text"))
+    return docs.withColumn("rid", row_ids(docs))
 
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -401,11 +423,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     n_chars, where there is one, counts the new text.
     """
-    rows = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
+    rid, found, text = (free_name(docs, c) for c in ("_rid", "_spans", "_text"))
+    rows = docs.withColumn(rid, row_ids(docs.select("doc_id", F.col("text").cast("string").alias("text"))))
     # The spans alone go to the documents: no text is shuffled but with its row.
-    _, spans = repeats(rows.select(F.col("_rid").alias("rid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    _, spans = repeats(rows.select(F.col(rid).alias("rid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     cut = F.udf(_cut, "string", useArrow=True)
-    out = rows.join(spans.select(F.col("rid").alias("_rid"), F.col("spans").alias("_spans")), "_rid", "left")
-    out = out.withColumn("_text", F.when(F.col("_spans").isNotNull(), cut(F.col("text").cast("string"), "_spans")).otherwise(F.col("text")))
-    columns = [F.col("_text").alias("text") if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    out = rows.join(spans.select(F.col("rid").alias(rid), F.col("spans").alias(found)), rid, "left")
+    out = out.withColumn(text, F.when(F.col(found).isNotNull(), cut(F.col("text").cast("string"), found)).otherwise(F.col("text")))
+    columns = [F.col(text).alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*columns)
