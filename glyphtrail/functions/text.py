@@ -53,6 +53,11 @@ def folded(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
 
 
+def folded_compact(text: Column) -> Column:
+    """The evaluation's compact form: :func:`folded` without separators."""
+    return compacted(folded(text))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length; two empty texts are equal."""
     longest = F.greatest(F.char_length(a), F.char_length(b))
@@ -119,7 +124,7 @@ def window_scores(texts: list[str], needle: str) -> np.ndarray:
 
 
 @F.pandas_udf(T.DoubleType())
-def _windows(texts: pd.Series, needles: pd.Series) -> pd.Series:
+def _scored_windows(texts: pd.Series, needles: pd.Series) -> pd.Series:
     out = pd.Series(0.0, index=texts.index)
     for needle, part in texts.groupby(needles, sort=False):
         # Slices bound the cells that are held at a time.
@@ -134,12 +139,38 @@ def _windows(texts: pd.Series, needles: pd.Series) -> pd.Series:
     return out
 
 
-def alias_score(normal: Column, compact: Column, alias_normal: Column, alias_compact: Column, short_length: int = 4) -> Column:
-    """1 for a contained alias in either form; 0 for short ones that are not; else the best window of either form."""
+#: Marked so that a filter on the score is not pushed below it, where it would be computed a second time.
+_windows = _scored_windows.asNondeterministic()
+
+
+def pieces(needle: str, cut: float) -> list[str]:
+    """Parts of a needle, one of which every window that scores at least ``cut`` holds unchanged.
+
+    Such a window is at most (1 - cut) * longer length edits away, which leave one of that many and one more parts untouched.
+    """
+    n = len(needle)
+    edits = math.floor((1 - cut) * (n + max(1, math.ceil(0.2 * n))) + 1e-9)
+    at = [i * n // (edits + 1) for i in range(edits + 2)]
+    return [needle[i:j] for i, j in zip(at, at[1:])]
+
+
+def _holds_any(text: Column, parts: Column) -> Column:
+    return F.exists(parts, lambda p: text.contains(p))
+
+
+def alias_score(normal: Column, compact: Column, alias_normal: Column, alias_compact: Column, short_length: int = 4, parts: tuple[Column, Column] | None = None) -> Column:
+    """1 for a contained alias in either form; 0 for short ones that are not; else the best window of either form.
+
+    With ``parts``, the :func:`pieces` of both forms as arrays, texts without any of them aren't searched and score 0, which
+    is exact down to the cut of the pieces.
+    """
     contained = ((F.char_length(alias_normal) > 0) & normal.contains(alias_normal)) | ((F.char_length(alias_compact) > 0) & compact.contains(alias_compact))
     open_ = ~contained & (F.char_length(alias_compact) > short_length)
-    fuzzy = F.greatest(_windows(F.when(open_, normal).otherwise(""), alias_normal), _windows(F.when(open_, compact).otherwise(""), alias_compact))
-    return F.when(contained, F.lit(1.0)).when(F.char_length(alias_compact) <= short_length, F.lit(0.0)).otherwise(fuzzy)
+    forms = []
+    for i, (hay, needle) in enumerate(((normal, alias_normal), (compact, alias_compact))):
+        some = _holds_any(hay, parts[i]) if parts else F.lit(True)
+        forms.append(_windows(F.when(open_ & some, hay).otherwise(""), needle))
+    return F.when(contained, F.lit(1.0)).when(F.char_length(alias_compact) <= short_length, F.lit(0.0)).otherwise(F.greatest(*forms))
 
 
 def useful(text: Column, confidence: Column, floor: float = 0.1) -> Column:

@@ -19,10 +19,48 @@ def orphans(listing: DataFrame, refs: DataFrame) -> DataFrame:
     return listing.filter("path is not null").join(refs, "path", "left_anti")
 
 
+#: Where the engine keeps its evidence, as a relative path of two parts.
+EVIDENCE = "report/assets"
+
+
 def is_owned(path: Column, temporary: bool = False) -> Column:
-    """A relative evidence path of exactly four parts that the engine itself wrote."""
-    name = r"\d+-(row\.png|frame\.jpg)" + (r"|\.[0-9a-f]{32}\.tmp" if temporary else "")
-    return path.rlike(rf"^evidence/[^/]+/[0-9a-f]{{16}}-[0-9a-f]{{32}}/({name})$") & ~path.contains("/../")
+    """A relative path of four parts below EVIDENCE that the engine itself wrote; with ``temporary`` also such a name with a draft's ending."""
+    draft = r"(\.[0-9a-f]{32}\.tmp)?" if temporary else ""
+    return F.coalesce(path.rlike(rf"\A{EVIDENCE}/[0-9a-f]{{16}}-[0-9a-f]{{32}}/\d+-(row\.png|frame\.jpg){draft}\z"), F.lit(False))
+
+
+def prunable(listing: DataFrame, refs: DataFrame, temporary: bool = False) -> DataFrame:
+    """Owned paths of ``listing`` (path) that ``refs`` (path) does not hold."""
+    return orphans(listing.filter(is_owned(F.col("path"), temporary)), refs)
+
+
+def upsert_sources(old: DataFrame, new: DataFrame) -> DataFrame:
+    """New descriptions of sources; id, local_path and managed_download stay, and status and error change only from pending or skipped."""
+    open_ = F.col("o.status").isin("pending", "skipped")
+    kept = {c: F.when(open_, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) for c in ("status", "error")}
+    return upsert(old, new, "id", kept | {c: F.col(f"o.{c}") for c in ("local_path", "managed_download")})
+
+
+def updated(rows: DataFrame, key: str, value: object, **values: object) -> DataFrame:
+    """``rows`` with some columns of the row(s) of one key set to new values."""
+    hit = F.col(key) == F.lit(value)
+    return rows.withColumns({c: F.when(hit, F.lit(v).cast(rows.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def without_parents(rows: DataFrame, key: str, children: DataFrame, child_key: str) -> DataFrame:
+    """The rows that some child still refers to: runs without a scan leave, shared ones stay."""
+    return rows.join(children.select(F.col(child_key).alias(key)).filter(F.col(key).isNotNull()).distinct(), key, "left_semi")
+
+
+def append_chunks(old: DataFrame, new: DataFrame, keys: list[str], bounds: list[str]) -> DataFrame:
+    """``old`` and the chunks of ``new`` that it lacks; a chunk that is there must have the bounds it had."""
+    was = old.select(*keys, *[F.col(c).alias(f"_{c}") for c in bounds])
+    rows = new.dropDuplicates(keys).join(was.withColumn("_old", F.lit(True)), keys, "left")
+    same = F.lit(True)
+    for c in bounds:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    checked = F.when(F.col("_old").isNull(), F.lit(True)).when(same, F.lit(False)).otherwise(F.raise_error(F.lit("a chunk's bounds have changed")).cast("boolean"))
+    return old.unionByName(rows.filter(checked).select(old.columns))
 
 
 def cascade(children: dict[str, tuple[DataFrame, str]], removed: DataFrame) -> dict[str, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,3 +70,52 @@ def owned(time: Column, start: Column, end: Column) -> Column:
 
 def backoff(retry: Column, first: float = 2.0, most: float = 30.0) -> Column:
     return F.least(F.lit(most), first * F.pow(F.lit(2.0), retry))
+
+
+def latest_unfinished(scans: DataFrame, runs: DataFrame) -> DataFrame:
+    """Each source's newest scan that is not completed, with its run's columns: what a resumed scan continues."""
+    newest = Window.partitionBy("video_id").orderBy(F.col("id").desc())
+    rows = scans.filter("status <> 'completed'").withColumn("_r", F.row_number().over(newest)).filter("_r = 1").drop("_r")
+    return rows.join(runs.select(F.col("id").alias("scan_run_id"), *[F.col(c).alias(f"run_{c}") for c in runs.columns if c != "id"]), "scan_run_id")
+
+
+def in_window(tick: Column, interval: Column, start: float, end: float) -> Column:
+    """Whether a tick's time lies in a half-open window."""
+    return (tick * interval >= start) & (tick * interval < end)
+
+
+def zipped(first: Column, second: Column) -> Column:
+    """Two arrays as one of pairs (first, second); unlike lengths are an error."""
+    pairs = F.zip_with(first, second, lambda a, b: F.struct(a.alias("first"), b.alias("second")))
+    return F.when(F.size(first) == F.size(second), pairs).otherwise(F.raise_error(F.concat(F.size(first).cast("string"), F.lit(" results expected, got "), F.size(second).cast("string"))))
+
+
+def enough_contrast(gray: Column, least_deviation: float = 4.0, least_edges: float = 0.01, step: float = 12.0) -> Column:
+    """Whether a crop, rows of gray values, varies and has edges: deviation of its values, and the share of steps along its rows above ``step``."""
+    flat = F.flatten(F.transform(gray, lambda r: F.transform(r, lambda v: v.cast("double"))))
+    mean = F.aggregate(flat, F.lit(0.0), lambda s, v: s + v) / F.size(flat)
+    deviation = F.sqrt(F.aggregate(F.transform(flat, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda s, v: s + v) / F.size(flat))
+    steps = F.flatten(F.transform(gray, lambda r: F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda a, b: (F.abs(b - a) > step).cast("int"))))
+    edges = F.aggregate(steps, F.lit(0), lambda s, v: s + v) / F.size(steps)
+    return F.when((F.size(gray) < 2) | (F.size(gray[0]) < 2), F.lit(False)).otherwise((deviation >= least_deviation) & (edges >= least_edges))
+
+
+def commit_points(rows: DataFrame, key: str, time: str, size: str, span: float = 20.0, most_rows: int = 10_000, most_bytes: int = 16 << 20) -> DataFrame:
+    """Adds batch_no from 0: a batch ends with the row whose time is ``span`` after the batch's first, or that fills its rows or bytes.
+
+    A batch begins where the one before ended, so a key's times and sizes are walked in order; times are unique within a key.
+    """
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (key, time)}
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(time)
+        numbers, first, n, held, no = [], None, 0, 0, 0
+        for t, b in zip(part[time], part[size]):
+            first, n, held = (t if first is None else first), n + 1, held + b
+            numbers.append(no)
+            if t - first >= span or n >= most_rows or held >= most_bytes:
+                first, n, held, no = None, 0, 0, no + 1
+        return pd.DataFrame({key: part[key], time: part[time], "batch_no": numbers})
+
+    placed = rows.select(key, time, size).groupBy(key).applyInPandas(walk, f"{key} {kinds[key]}, {time} {kinds[time]}, batch_no long")
+    return rows.join(placed, [key, time])

@@ -46,3 +46,11 @@ def scored_first(rows: DataFrame, keys: list[str], score: str, row_id: str) -> D
 
 def support(scored: DataFrame, keys: list[str], weak: float) -> DataFrame:
     return scored.groupBy(*keys).agg(F.count_distinct(F.when(F.col("score") >= weak, F.col("timestamp_s"))).alias("support_count"))
+
+
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds each row's place from 1 in an order of all rows. The rows are ranged by Spark's sort and numbered by their ranges' counts, never in one task."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")

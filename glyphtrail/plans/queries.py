@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as x
-from ..operators import catalog, evaluation, maintenance, matching, metrics, retention, selection, tracks
+from ..operators import catalog, evaluation, maintenance, matching, metrics, reports, retention, selection, tracks
 from ..streaming import ingest, tracking
 
 ALIASES = ["thering", "oneble", "the stand"]
@@ -48,8 +48,8 @@ def _observations(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.col("conv_id").alias("cluster_id"), F.col("turn").alias("observation_id"), F.col("turn").cast("double").alias("timestamp_s"), F.col("text").alias("raw_text"))
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return matching.score_aliases(_observations(spark, d), matching.alias_table(spark, ALIASES))
+def _scored(spark: SparkSession, d: str, cut: float) -> DataFrame:
+    return matching.score_aliases(_observations(spark, d), matching.alias_table(spark, ALIASES, cut))
 
 
 # DuckDB counts bytes in levenshtein: every other character than ASCII becomes one byte that no alias has.
@@ -79,12 +79,12 @@ SELECT t.cluster_id, t.alias AS matched_alias, b.raw_text AS best_text, round(t.
 FROM top t JOIN best b USING (cluster_id, ordinal) WHERE t.r = 1 AND b.r = 1"""
 )
 def alias_hits(spark, d):
-    return matching.hits(_scored(spark, d)).withColumn("best_score", F.round("best_score", 9))
+    return matching.hits(_scored(spark, d, matching.WEAK)).withColumn("best_score", F.round("best_score", 9))
 
 
 @query(f"WITH {_SCORED} SELECT cluster_id, observation_id, alias, round(score, 9) AS score FROM scored WHERE score >= 0.65")
 def borderline_matches(spark, d):
-    return matching.borderline(_scored(spark, d)).select("cluster_id", "observation_id", "alias", F.round("score", 9).alias("score"))
+    return matching.borderline(_scored(spark, d, matching.BORDERLINE)).select("cluster_id", "observation_id", "alias", F.round("score", 9).alias("score"))
 
 
 @query(rf"SELECT doc_id, {_NORMAL.format('text')} AS normal, regexp_replace({_NORMAL.format('text')}, '[\s_\-|.·:]+', '', 'g') AS compact FROM documents")
@@ -424,3 +424,230 @@ def text_tracks(spark, d):
     v = [F.col("embedding")[i].cast("double") for i in range(4)]
     rows = e.select(F.col("label").alias("scan_id"), F.col("vec_id").alias("observation_id"), F.col("vec_id").cast("double").alias("timestamp_s"), (v[0] / 20 + 0.5).alias("x"), (v[1] / 20 + 0.5).alias("y"), F.lit(0.1).alias("w"), F.lit(0.05).alias("h"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("text"))
     return tracking.track(rows, gap=60.0, distance=0.2, tolerance=2.0)
+
+
+_SEEN = "SELECT event_id AS observation_id, event_type AS raw_text, CASE WHEN value > 50 THEN 'c' || event_id END AS crop_path, s AS timestamp_s, 'f' || event_id AS full_frame_path FROM " + _EVENTS
+
+
+@query(
+    f"""WITH o AS ({_SEEN}), h AS (SELECT user_id, max(event_id) AS m, min(event_id) * (CASE WHEN user_id % 5 = 0 THEN -1 ELSE 1 END) AS r FROM events GROUP BY 1)
+SELECT user_id, m.timestamp_s AS matched_timestamp_s, m.crop_path IS NOT NULL AS available, CASE WHEN m.crop_path IS NOT NULL THEN 'matched' ELSE 'representative' END AS kind,
+CASE WHEN m.crop_path IS NOT NULL THEN m.observation_id ELSE r.observation_id END AS evidence_id,
+CASE WHEN m.crop_path IS NOT NULL THEN m.raw_text WHEN r.observation_id IS NOT NULL THEN r.raw_text ELSE 'own' END AS evidence_text,
+CASE WHEN m.crop_path IS NOT NULL THEN m.crop_path WHEN r.observation_id IS NOT NULL THEN r.crop_path ELSE 'path' END AS evidence_path
+FROM h LEFT JOIN o m ON m.observation_id = h.m LEFT JOIN o r ON r.observation_id = h.r"""
+)
+def evidence_choice(spark, d):
+    e = _events(spark, d)
+    seen = e.select(F.col("event_id").alias("observation_id"), F.col("event_type").alias("raw_text"), F.when(F.col("value") > 50, F.concat(F.lit("c"), F.col("event_id").cast("string"))).alias("crop_path"), F.lit(None).cast("string").alias("quad"), F.col("s").alias("timestamp_s"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("full_frame_path"))
+    rep = F.min("event_id") * F.when(F.col("user_id") % 5 == 0, -1).otherwise(1)
+    hits = e.groupBy("user_id").agg(F.max("event_id").alias("matched_observation_id"), rep.alias("representative_observation_id"))
+    hits = hits.withColumns({"representative_path": F.lit("path"), "representative_text": F.lit("own"), "evidence_timestamp_s": F.lit(0.0), "frame_path": F.lit("frame")})
+    rows = reports.with_evidence(hits, seen)
+    return rows.select("user_id", "matched_timestamp_s", F.col("observation_evidence_available").alias("available"), F.col("evidence_kind").alias("kind"), F.col("evidence_observation_id").alias("evidence_id"), "evidence_text", "evidence_path")
+
+
+@query(
+    """WITH m AS (SELECT l_orderkey AS cluster_id, l_linenumber AS observation_id, l_quantity AS score FROM lineitem)
+SELECT cluster_id, observation_id AS matched_observation_id FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, observation_id) AS r FROM m) WHERE r = 1 AND cluster_id % 2 = 0"""
+)
+def matched_choice(spark, d):
+    lines = _t(spark, d, "lineitem")
+    unique = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    matches = lines.select(F.lit("q").alias("query_id"), unique.alias("observation_id"), F.lit("a").alias("alias"), F.col("l_quantity").alias("score"))
+    bridge = lines.select(F.col("l_orderkey").alias("cluster_id"), unique.alias("observation_id"))
+    hits = bridge.filter("cluster_id % 2 = 0").select(F.lit("q").alias("query_id"), "cluster_id", F.lit("a").alias("matched_alias")).distinct()
+    found = reports.matched_observations(matches, bridge, hits)
+    return found.select("cluster_id", (F.col("matched_observation_id") % 10).cast("int").alias("matched_observation_id"))
+
+
+@query(
+    """SELECT o_orderkey AS cluster_id, c_custkey, n_name AS title, best_score, row_number() OVER (ORDER BY best_score DESC, start_s, o_orderkey) AS place FROM (SELECT o_orderkey, o_custkey, round(o_totalprice) AS best_score, o_orderkey % 50 AS start_s FROM orders WHERE o_orderstatus = 'F') o
+JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+)
+def hit_report(spark, d):
+    orders = _t(spark, d, "orders").filter("o_orderstatus = 'F'")
+    hits = orders.select(F.col("o_orderkey").alias("cluster_id"), F.col("o_custkey").alias("query_id"), F.round("o_totalprice").alias("best_score"))
+    clusters = orders.join(_t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("scan_id")), "o_custkey").select(F.col("o_orderkey").alias("cluster_id"), "scan_id", (F.col("o_orderkey") % 50).alias("start_s"))
+    scans = _t(spark, d, "nation").select(F.col("n_nationkey").alias("scan_id"), F.col("n_regionkey").alias("run_id"), F.col("n_nationkey").alias("source_id"))
+    sources = _t(spark, d, "nation").select(F.col("n_nationkey").alias("source_id"), F.col("n_name").alias("title"))
+    runs = _t(spark, d, "region").select(F.col("r_regionkey").alias("run_id"), F.col("r_name").alias("config_hash"))
+    queries = _t(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), F.col("c_name").alias("target_name"))
+    rows = reports.hit_report(hits, clusters, sources, queries, scans, runs)
+    # The place tells the order to a comparison that has none.
+    return tracks.numbered(rows, [F.col("best_score").desc(), "start_s", "cluster_id"], "place").select("cluster_id", F.col("query_id").alias("c_custkey"), "title", "best_score", "place")
+
+
+_ASKED = """a AS (SELECT n_nationkey AS query_id, n_name AS name FROM nation UNION ALL SELECT n_nationkey + 100, n_name FROM nation WHERE n_nationkey < 10), l AS (SELECT name, max(query_id) AS query_id FROM a GROUP BY 1),
+h AS (SELECT c_nationkey + 100 * (c_custkey % 2) AS query_id, CASE WHEN c_custkey % 3 = 0 THEN 'x ' || lower(n_name) || c_custkey ELSE c_name END AS t FROM customer JOIN nation ON c_nationkey = n_nationkey),
+n AS (SELECT n_name AS name FROM nation UNION SELECT r_name FROM region), b AS (SELECT n.name, count(t) AS candidates,
+count(t) FILTER (contains(regexp_replace(lower(t), '[\\s_\\-|.·:]+', '', 'g'), regexp_replace(lower(n.name), '[\\s_\\-|.·:]+', '', 'g'))) AS verified FROM n LEFT JOIN l USING (name) LEFT JOIN h USING (query_id) GROUP BY 1)"""
+
+
+def _battery(spark, d):
+    n, r = _t(spark, d, "nation"), _t(spark, d, "region")
+    first = n.select(F.col("n_nationkey").cast("long").alias("query_id"), F.col("n_name").alias("target_name"))
+    asked = first.unionByName(first.filter("query_id < 10").withColumn("query_id", F.col("query_id") + 100))
+    c = _t(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    text = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("x "), F.lower("n_name"), F.col("c_custkey").cast("string"))).otherwise(F.col("c_name"))
+    hits = c.select((F.col("c_nationkey") + 100 * (F.col("c_custkey") % 2)).cast("long").alias("query_id"), text.alias("best_text"))
+    names = n.select(F.col("n_name").alias("name")).union(r.select("r_name"))
+    return reports.battery(names, asked, hits, x.folded_compact)
+
+
+@query(f"WITH {_ASKED} SELECT name, candidates, verified, candidates - verified AS unverified FROM b")
+def name_battery(spark, d):
+    return _battery(spark, d)
+
+
+@query(f"WITH {_ASKED} SELECT count(*) AS queries, count(*) FILTER (candidates > 0) AS queries_with_candidates, sum(candidates)::BIGINT AS candidates, sum(verified)::BIGINT AS verified, sum(candidates - verified)::BIGINT AS unverified FROM b")
+def battery_summary(spark, d):
+    return reports.battery_summary(_battery(spark, d))
+
+
+@query("SELECT DISTINCT n_name AS name FROM nation WHERE n_name IN (SELECT r_name FROM region UNION SELECT n_name FROM nation WHERE n_nationkey > 20)")
+def roster_overlap(spark, d):
+    n = _t(spark, d, "nation")
+    roster = _t(spark, d, "region").select(F.col("r_name").alias("name")).union(n.filter("n_nationkey > 20").select("n_name"))
+    return reports.roster_overlap(n.select(F.col("n_name").alias("name")), roster)
+
+
+@query("SELECT user_id, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM (SELECT user_id, sha256(coalesce('+' || event_id, '-') || chr(1) || coalesce('+' || event_type, '-')) AS h FROM events) GROUP BY 1")
+def row_digests(spark, d):
+    return reports.row_digest(_t(spark, d, "events"), "user_id", ["event_id", "event_type"])
+
+
+@query("SELECT 'users' AS name, (SELECT count(*) FROM events) AS old, (SELECT count(DISTINCT user_id) FROM events) AS new, (SELECT count(*) FROM events) = (SELECT count(DISTINCT user_id) FROM events) AS equal UNION ALL SELECT 'nations', (SELECT count(*) FROM nation), (SELECT count(DISTINCT n_name) FROM nation), (SELECT count(*) FROM nation) = (SELECT count(DISTINCT n_name) FROM nation)")
+def table_reconciliation(spark, d):
+    e, n = _t(spark, d, "events"), _t(spark, d, "nation")
+    return reports.reconciled({"users": (e, e.select("user_id").distinct()), "nations": (n, n.select("n_name").distinct())})
+
+
+@query("SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem")
+def table_totals(spark, d):
+    return reports.totals({"orders": _t(spark, d, "orders"), "lineitem": _t(spark, d, "lineitem")})
+
+
+@query("SELECT o_custkey AS video_id, o_orderkey AS id, s_name AS run_s_name FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders WHERE o_orderstatus <> 'F') JOIN supplier ON s_suppkey = o_orderkey % 10 WHERE r = 1")
+def latest_unfinished(spark, d):
+    o = _t(spark, d, "orders")
+    scans = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("video_id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running").alias("status"), (F.col("o_orderkey") % 10).alias("scan_run_id"))
+    runs = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), "s_name")
+    return selection.latest_unfinished(scans, runs).select("video_id", "id", "run_s_name")
+
+
+_OLD = "SELECT o_custkey AS id, max(o_orderstatus) AS st, 'a' AS title, 'p' || o_custkey AS local_path, (o_custkey % 2 = 0) AS managed_download FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1"
+
+
+@query(
+    f"""WITH o AS (SELECT id, title, local_path, managed_download, CASE st WHEN 'F' THEN 'pending' WHEN 'O' THEN 'scanned' ELSE 'skipped' END AS status, NULL::VARCHAR AS error FROM ({_OLD})),
+n AS (SELECT c_custkey AS id, 'b' AS title, 'q' AS local_path, false AS managed_download, 'failed' AS status, 'e' AS error FROM customer WHERE c_custkey % 2 = 0)
+SELECT coalesce(o.id, n.id) AS id, coalesce(n.title, o.title) AS title, CASE WHEN o.id IS NULL THEN n.local_path ELSE o.local_path END AS local_path, CASE WHEN o.id IS NULL THEN n.managed_download ELSE o.managed_download END AS managed_download,
+CASE WHEN n.id IS NULL THEN o.status WHEN o.id IS NULL OR o.status IN ('pending', 'skipped') THEN n.status ELSE o.status END AS status,
+CASE WHEN n.id IS NULL THEN o.error WHEN o.id IS NULL OR o.status IN ('pending', 'skipped') THEN n.error ELSE o.error END AS error FROM o FULL JOIN n ON o.id = n.id"""
+)
+def source_upsert(spark, d):
+    by = _t(spark, d, "orders").filter("o_custkey % 3 <> 0").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderstatus").alias("st"))
+    status = F.when(F.col("st") == "F", "pending").when(F.col("st") == "O", "scanned").otherwise("skipped")
+    old = by.select("id", F.lit("a").alias("title"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("local_path"), (F.col("id") % 2 == 0).alias("managed_download"), status.alias("status"), F.lit(None).cast("string").alias("error"))
+    new = _t(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.lit("b").alias("title"), F.lit("q").alias("local_path"), F.lit(False).alias("managed_download"), F.lit("failed").alias("status"), F.lit("e").alias("error"))
+    return maintenance.upsert_sources(old, new)
+
+
+_PATHS = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'report/assets/' WHEN 1 THEN 'report/assets/x/' ELSE 'report/assets/' END || substr(sha256(doc_id::VARCHAR), 1, 16) || '-' || substr(sha256(doc_id::VARCHAR), 1, 32) || '/' || doc_id
+|| CASE doc_id % 3 WHEN 0 THEN '-row.png' WHEN 1 THEN '-frame.jpg' ELSE '-row.png.' || substr(sha256(doc_id::VARCHAR), 1, 32) || '.tmp' END AS path FROM documents"""
+
+
+def _paths(spark, d):
+    i, h = F.col("doc_id").cast("string"), F.sha2(F.col("doc_id").cast("string"), 256)
+    head = F.when(F.col("doc_id") % 4 == 1, "report/assets/x/").otherwise("report/assets/")
+    tail = F.when(F.col("doc_id") % 3 == 0, F.lit("-row.png")).when(F.col("doc_id") % 3 == 1, F.lit("-frame.jpg")).otherwise(F.concat(F.lit("-row.png."), F.substring(h, 1, 32), F.lit(".tmp")))
+    return _t(spark, d, "documents").select("doc_id", F.concat(head, F.substring(h, 1, 16), F.lit("-"), F.substring(h, 1, 32), F.lit("/"), i, tail).alias("path"))
+
+
+@query(f"SELECT doc_id, doc_id % 4 <> 1 AND doc_id % 3 <> 2 AS owned, doc_id % 4 <> 1 AS swept, CASE WHEN doc_id % 7 = 0 THEN '' ELSE substr(path, 8) END AS link FROM ({_PATHS})")
+def owned_paths(spark, d):
+    rows = _paths(spark, d)
+    p = F.col("path")
+    odd = F.when(F.col("doc_id") % 14 == 0, F.concat(F.lit("/"), p)).when(F.col("doc_id") % 7 == 0, F.concat(F.lit("report/../"), p)).otherwise(p)
+    return rows.select("doc_id", maintenance.is_owned(p).alias("owned"), maintenance.is_owned(p, True).alias("swept"), reports.evidence_url(odd).alias("link"))
+
+
+@query(f"SELECT path FROM ({_PATHS}) WHERE doc_id % 4 <> 1 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+def prunable_paths(spark, d):
+    rows = _paths(spark, d)
+    refs = maintenance.references([(rows.join(_t(spark, d, "labels"), "doc_id", "left_semi"), ["path"])])
+    return maintenance.prunable(rows.select("path"), refs, temporary=True)
+
+
+@query("SELECT event_id FROM events WHERE user_id * 0.5 >= 10 AND user_id * 0.5 < 40")
+def time_window(spark, d):
+    return _t(spark, d, "events").filter(selection.in_window(F.col("user_id"), F.lit(0.5), 10, 40)).select("event_id")
+
+
+@query("SELECT l_orderkey, sum(l_linenumber * l_quantity) AS weighted FROM lineitem GROUP BY 1")
+def checked_zip(spark, d):
+    order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))), lambda s: s[c])
+    rows = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(order("l_linenumber").alias("a"), order("l_quantity").alias("b"))
+    return rows.select("l_orderkey", F.aggregate(selection.zipped(F.col("a"), F.col("b")), F.lit(0.0), lambda s, p: s + p["first"] * p["second"]).alias("weighted"))
+
+
+@query(
+    """WITH g AS (SELECT vec_id, list_transform(embedding[1:8], lambda v: v::DOUBLE * 20) AS v FROM embeddings), m AS (SELECT *, list_avg(v) AS a, [abs(v[2] - v[1]), abs(v[3] - v[2]), abs(v[4] - v[3]), abs(v[6] - v[5]), abs(v[7] - v[6]), abs(v[8] - v[7])] AS s FROM g)
+SELECT vec_id, sqrt(list_avg(list_transform(v, lambda x: (x - a) * (x - a)))) >= 15 AND len(list_filter(s, lambda x: x > 12)) / 6.0 >= 0.5 AS keep FROM m"""
+)
+def contrast_gate(spark, d):
+    v = F.transform(F.slice("embedding", 1, 8), lambda e: e.cast("double") * 20)
+    rows = _t(spark, d, "embeddings").select("vec_id", F.array(F.slice(v, 1, 4), F.slice(v, 5, 4)).alias("gray"))
+    return rows.select("vec_id", selection.enough_contrast(F.col("gray"), 15.0, 0.5).alias("keep"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey = 7 THEN 'new' ELSE c_name END AS c_name, CASE WHEN c_custkey = 7 THEN 1.5 ELSE c_acctbal END AS c_acctbal FROM customer")
+def partial_update(spark, d):
+    return maintenance.updated(_t(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), "c_custkey", 7, c_name="new", c_acctbal=1.5)
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def runs_with_scans(spark, d):
+    return maintenance.without_parents(_t(spark, d, "customer").select("c_custkey"), "c_custkey", _t(spark, d, "orders").filter("o_orderstatus = 'P'"), "o_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+def chunk_append(spark, d):
+    o = _t(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return maintenance.append_chunks(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 3 = 0"), ["o_orderkey"], ["o_custkey"])
+
+
+@query(f"SELECT cluster_id, support_count, observation_id, timestamp_s FROM (SELECT user_id AS cluster_id, count(*) OVER (PARTITION BY user_id) AS support_count, event_id AS observation_id, s AS timestamp_s, max(s) OVER (PARTITION BY user_id) AS e, max(s) OVER () AS w, max(CASE WHEN user_id % 4 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id) AS closed, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, event_id DESC) AS r FROM {_EVENTS}) WHERE r = 1 AND e >= w - 86400 AND closed = 0")
+def restored_tracks(spark, d):
+    e = _events(spark, d)
+    clusters = e.groupBy(F.col("user_id").alias("cluster_id")).agg(F.max("s").alias("end_s"), F.count(F.lit(1)).alias("support_count"), F.max(F.when(F.col("user_id") % 4 == 1, "time_gap")).alias("close_reason"))
+    seen = e.select(F.col("user_id").alias("cluster_id"), F.col("event_id").alias("observation_id"), F.col("s").alias("timestamp_s"))
+    return tracking.restored(clusters, seen, e.agg(F.max("s")).first()[0], 86400.0)
+
+
+@query(f"SELECT identity, x0, y0, x1, y1 FROM {_BOXES}")
+def canonical_corners(spark, d):
+    b = _boxes(spark, d)
+    corners = {k: F.col(c) for k, c in (("x0", "x0"), ("y0", "y0"), ("x1", "x1"), ("y1", "y1"))}
+    mixed = g.quad((corners["x1"], corners["y1"]), (corners["x0"], corners["y0"]), (corners["x0"], corners["y1"]), (corners["x1"], corners["y0"]))
+    q = g.canonicalize(mixed)
+    return b.select("identity", q[0]["x"].alias("x0"), q[0]["y"].alias("y0"), q[2]["x"].alias("x1"), q[2]["y"].alias("y1"))
+
+
+@query("SELECT vec_id, vec_id // 2 AS l, 0::BIGINT AS t, vec_id AS r, (vec_id + 10) // 2 AS b FROM embeddings")
+def top_right_regions(spark, d):
+    left, top, right, bottom = g.top_right_region(F.col("vec_id"), F.col("vec_id") + 9)
+    return _t(spark, d, "embeddings").select("vec_id", left.alias("l"), top.alias("t"), right.alias("r"), bottom.alias("b"))
+
+
+@query("SELECT user_id, string_agg(event_type, '|' ORDER BY s, i) AS texts FROM (SELECT user_id, event_type, arg_min(epoch_us(ts) / 1e6, struct_pack(a := ts, b := event_id)) AS s, arg_min(event_id, struct_pack(a := ts, b := event_id)) AS i FROM events GROUP BY ALL) GROUP BY 1")
+def cluster_texts(spark, d):
+    seen = _events(spark, d).select(F.col("user_id").alias("cluster_id"), F.col("event_id").alias("observation_id"), F.col("s").alias("timestamp_s"), F.col("event_type").alias("raw_text"))
+    return reports.ocr_strings(seen).select(F.col("cluster_id").alias("user_id"), F.array_join("ocr_strings", "|").alias("texts"))
+
+
+@query()
+def commit_batches(spark, d):
+    rows = _events(spark, d).groupBy("user_id", "s").agg(F.sum(F.length("event_type")).alias("size"))
+    return selection.commit_points(rows, "user_id", "s", "size", span=86400.0, most_rows=5, most_bytes=40)

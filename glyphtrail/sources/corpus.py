@@ -26,10 +26,11 @@ SCHEMAS: dict[str, T.StructType] = {
     "chunk_attempts": _table(chunk_id=_L, attempt_no=_L, error=_S, elapsed_s=_D),
     "sampled_frames": _table(id=_L, video_scan_id=_L, sample_key=_S, timestamp_s=_D, full_frame_path=_S),
     "observations": _table(id=_L, sampled_frame_id=_L, quad=_QUAD, geometry_key=_S, screen_region=_S, detector_confidence=_D, raw_text=_S, normalized_text=_S, compact_text=_S, ocr_confidence=_D, crop_path=_S),
-    "text_clusters": _table(id=_L, video_scan_id=_L, start_s=_D, end_s=_D, representative_observation_id=_L, canonical_text=_S, best_confidence=_D, support_count=_L, close_reason=_S),
+    "text_clusters": _table(id=_L, video_scan_id=_L, start_s=_D, end_s=_D, representative_observation_id=_L, canonical_text=_S, best_confidence=_D, support_count=_L, close_reason=_S, evidence_path=_S, frame_path=_S, evidence_timestamp_s=_D),
     "cluster_observations": _table(cluster_id=_L, observation_id=_L, video_scan_id=_L, support_score=_D),
     "queries": _table(id=_S, target_name=_S, aliases=T.ArrayType(_S), matcher_version=_S),
-    "hits": _table(cluster_id=_L, query_id=_S, matched_alias=_S, best_text=_S, best_score=_D, support_count=_L),
+    "query_matches": _table(query_id=_S, observation_id=_L, matched_alias=_S, match_score=_D),
+    "hits": _table(cluster_id=_L, query_id=_S, matched_alias=_S, best_text=_S, best_score=_D, support_count=_L, observation_id=_L),
     "reviews": _table(cluster_id=_L, query_id=_S, review_status=_S, reviewer_note=_S, at=T.TimestampType()),
 }
 STATUSES = {"videos": ("pending", "skipped", "processing", "scanned", "failed"), "video_scans": ("running", "completed", "failed"), "reviews": ("unreviewed", "confirmed", "rejected")}
@@ -86,6 +87,32 @@ class Corpus:
             raise KeyError(f"{name}: no {key} {value!r}")
         return rows
 
+    def sql(self, text: str, version: int | None = None, **args: object) -> DataFrame:
+        """A query over the corpus's tables, which it names as {videos} and so on, with :named parameters."""
+        tables = {n: self.read(n, version) for n in {*SCHEMAS, *self.manifest(version)["tables"]} if f"{{{n}}}" in text}
+        return self.spark.sql(text, args=args or None, **tables)
+
+    def backup(self, root: str, version: int | None = None) -> Corpus:
+        """A version's tables as a corpus of its own."""
+        other = Corpus(self.spark, root)
+        other.commit({name: self.read(name, version) for name in self.manifest(version)["tables"]})
+        return other
+
+    def files(self, folder: str) -> DataFrame:
+        """path: the files below ``folder``, relative to the root."""
+        base = self._path(f"{self.root}/{folder}")
+        found: list[tuple[str]] = []
+        if self._fs.exists(base):
+            whole = str(self._fs.getFileStatus(self._path(self.root)).getPath())
+            at = self._fs.listFiles(base, True)
+            while at.hasNext():
+                found.append((str(at.next().getPath())[len(whole) + 1 :],))
+        return self.spark.createDataFrame(found, "path string")
+
+    def unlink(self, paths: DataFrame) -> int:
+        """Deletes files given by relative path (path), one at a time as they come; how many were there."""
+        return sum(bool(self._fs.delete(self._path(f"{self.root}/{r['path']}"), False)) for r in paths.toLocalIterator())
+
     def commit(self, tables: dict[str, DataFrame]) -> int:
         """Writes the tables under new names and publishes them together as the next version."""
         now = self.manifest()
@@ -98,10 +125,12 @@ class Corpus:
             paths[name] = f"data/{name}/{uuid.uuid4().hex}"
             rows.write.parquet(f"{self.root}/{paths[name]}")
         version = now["version"] + 1
-        draft = self._path(f"{self.root}/manifests/.{uuid.uuid4().hex}.tmp")
-        out = self._fs.create(draft)
+        # Created with overwriting refused, which stores without an atomic rename keep as well; a reader that meets a part of it fails to parse it.
+        final = self._path(f"{self.root}/manifests/{version}.json")
+        try:
+            out = self._fs.create(final, False)
+        except Exception as e:
+            raise RuntimeError(f"version {version} was published by another writer") from e
         out.write(bytearray(json.dumps({"version": version, "schema": SCHEMA_VERSION, "tables": paths}).encode()))
         out.close()
-        if not self._fs.rename(draft, self._path(f"{self.root}/manifests/{version}.json")):
-            raise RuntimeError(f"version {version} was published by another writer")
         return version

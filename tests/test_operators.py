@@ -34,8 +34,8 @@ def test_upsert_and_append(spark):
 
 
 def test_owned_paths(spark):
-    good = "evidence/v/" + "0" * 16 + "-" + "a" * 32 + "/12-row.png"
-    rows = spark.createDataFrame([(good,), ("/" + good,), (good + "x",), ("evidence/v/x/12-row.png",)], "p string")
+    good = "report/assets/" + "0" * 16 + "-" + "a" * 32 + "/12-row.png"
+    rows = spark.createDataFrame([(good,), ("/" + good,), (good + "x",), ("report/assets/x/12-row.png",)], "p string")
     assert [r[0] for r in rows.select(maintenance.is_owned(F.col("p"))).collect()] == [True, False, False, False]
 
 
