@@ -30,13 +30,13 @@ def test_window_scores_match_a_plain_search():
     def plain(text, needle):
         import math
 
-        from glyphtrail.streaming.tracking import edit_similarity
+        from glyphtrail.functions.text import similarities
 
         n, best = len(needle), 0.0
         r = max(1, math.ceil(0.2 * n))
         for size in range(max(1, n - r), n + r + 1):
             for i in range(len(text) - size + 1):
-                best = max(best, edit_similarity(text[i : i + size], needle))
+                best = max(best, float(similarities([text[i : i + size]], [needle])[0]))
         return best
 
     texts = ["", "abcdef", "xx abcdxf yy", "ünïcode abçdef", "zz"]
