@@ -40,7 +40,9 @@ from .langid import decode_utf8
 
 ORDER, BITS, LATIN = 5, 10, 0x250
 #: Text of a chunk, text that a task packs at once, n-grams of a shard, and most shards.
-CHUNK_BYTES, PACK_BYTES, SHARE, MOST_SHARDS = 16 << 20, 16 << 20, 1 << 21, 4096
+CHUNK_BYTES, PACK_BYTES, SHARE, MOST_SHARDS = 8 << 20, 6 << 20, 1 << 21, 4096
+#: Text of a chunk that is worked on at once.
+SLICE = 1 << 20
 HELD_OUT, QUANTILE, PRIOR, LEAST_HELD = 5, 0.99, 100.0, 20
 
 
@@ -113,6 +115,7 @@ class Chunk:
         size = np.array([x for s in rows.column("size").to_pylist() for x in s], np.int64)
         texts = [unzip.decompress(t.as_py(), max_output_size=max(1, sum(max(0, x) for x in s.as_py()))) for t, s in zip(rows.column("texts"), rows.column("size"))]
         self.raw, self.offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum(np.maximum(size, 0))))
+        del texts
         self.columns = [pc.list_flatten(rows.column(c).combine_chunks()) for c in carried]
         ids = pc.list_flatten(rows.column("doc_id").combine_chunks())
         known = trusted.filter(pc.is_valid(trusted.column("id")))
@@ -121,7 +124,7 @@ class Chunk:
         self.n = int(sum(sizes))
 
     def slices(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        for lo, hi in slices(self.offsets):
+        for lo, hi in slices(self.offsets, SLICE):
             yield lo, hi, *ngrams(self.raw[self.offsets[lo] : self.offsets[hi]], self.offsets[lo : hi + 1] - self.offsets[lo])
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
@@ -154,12 +157,16 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Whole numbers by byte planes, high ones first, which compress when the numbers are small."""
-    return np.ascontiguousarray(x.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Whole numbers by byte planes, which compress when the numbers are small, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def _numbers(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.int64)
+    import zstandard
+
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.int64)
 
 
 def _keys(b: bytes) -> np.ndarray:
@@ -216,7 +223,7 @@ def score(docs: DataFrame, trusted: DataFrame, carried: list[str]) -> DataFrame
     kinds = {c: docs.schema[c].dataType.simpleString() for c in carried}
     ids = trusted.select(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(chunks)).alias("chunk"), F.col("doc_id").cast(kinds["doc_id"]).alias("id"), "held")
     rows = packed(docs, chunks, carried)
-    number = max(1, min(MOST_SHARDS, math.ceil(size / 50 / SHARE)))  # a chunk's distinct n-grams are about a fiftieth of its characters
+    number = max(1, min(MOST_SHARDS, math.ceil(size / 30 / SHARE)))  # a chunk's distinct n-grams are about a thirtieth of its characters
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["chunk", "shard", "keys", "counts"]
