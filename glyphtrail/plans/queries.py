@@ -272,10 +272,17 @@ def box_overlaps(spark, d):
     return retention.overlapping_pairs(_boxes(spark, d), "frame_id", ["x0", "y0", "x1", "y1"]).withColumn("iou", F.round("iou", 6)).withColumn("containment", F.round("containment", 6))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY x1 - x0 DESC, x0, y0, x1, y1, identity) AS r, count(*) OVER (PARTITION BY frame_id) AS n FROM {_BOXES}),
+g AS (SELECT frame_id, r, n, [struct_pack(i := identity, x0 := x0, y0 := y0, x1 := x1, y1 := y1)] AS kept FROM b WHERE r = 1 UNION ALL
+SELECT b.frame_id, b.r, b.n, CASE WHEN len(list_filter(g.kept, lambda k: greatest(0, least(k.x1, b.x1) - greatest(k.x0, b.x0)) * greatest(0, least(k.y1, b.y1) - greatest(k.y0, b.y0))
+  >= least(0.5 * ((k.x1 - k.x0) * (k.y1 - k.y0) + (b.x1 - b.x0) * (b.y1 - b.y0)) / 1.5, 0.7 * least((k.x1 - k.x0) * (k.y1 - k.y0), (b.x1 - b.x0) * (b.y1 - b.y0))))) > 0 THEN g.kept
+  ELSE list_append(g.kept, struct_pack(i := b.identity, x0 := b.x0, y0 := b.y0, x1 := b.x1, y1 := b.y1)) END FROM g JOIN b ON b.frame_id = g.frame_id AND b.r = g.r + 1)
+SELECT frame_id, array_to_string(list_transform(kept[1:8], lambda k: k.i::VARCHAR), '|') AS kept, n::BIGINT AS raw, (n - len(kept))::BIGINT AS duplicates, greatest(0, len(kept) - 8)::BIGINT AS dropped FROM g WHERE r = n"""
+)
 def iou_suppression(spark, d):
     rows = _boxes(spark, d).select("frame_id", "identity", g.box(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("quad"), (F.col("x1") - F.col("x0")).alias("confidence"))
-    return retention.suppress(rows.filter(g.valid_quad(F.col("quad"))), iou=0.5, containment=0.7, most=8)
+    return retention.suppress(rows.filter(g.valid_quad(F.col("quad"))), iou=0.5, containment=0.7, most=8).withColumn("kept", F.array_join("kept", "|"))
 
 
 @query(
