@@ -109,6 +109,18 @@ class Corpus:
                 found.append((str(at.next().getPath())[len(whole) + 1 :],))
         return self.spark.createDataFrame(found, "path string")
 
+    def write_text(self, path: str, text: str) -> None:
+        """A file that appears whole: a draft beside it takes its name when it is written."""
+        target = self._path(path)
+        files = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        draft = self._path(f"{path}.{uuid.uuid4().hex}.tmp")
+        out = files.create(draft)
+        out.write(bytearray(text.encode()))
+        out.close()
+        files.delete(target, False)
+        if not files.rename(draft, target):
+            raise RuntimeError(f"{path} was not written")
+
     def unlink(self, paths: DataFrame) -> int:
         """Deletes files given by relative path (path), one at a time as they come; how many were there."""
         return sum(bool(self._fs.delete(self._path(f"{self.root}/{r['path']}"), False)) for r in paths.toLocalIterator())

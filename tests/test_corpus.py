@@ -3,9 +3,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from glyphtrail import cli
 from glyphtrail import settings as st
 from glyphtrail.functions.text import pieces, window_scores
-from glyphtrail.operators import maintenance, matching, reports, selection
+from glyphtrail.operators import detection, maintenance, matching, reports, selection
 from glyphtrail.plans import corpus as plans
 from glyphtrail.sources.corpus import SCHEMAS, Corpus
 
@@ -177,3 +178,50 @@ def test_reviews_at_one_time_have_an_order(spark):
     reviews = spark.createDataFrame([(1, "confirmed", "x", 5), (1, "rejected", "a", 5), (1, "confirmed", "z", 4)], "cluster_id long, review_status string, reviewer_note string, at long")
     for order in (reviews, reviews.orderBy(F.desc("review_status"))):
         assert matching.with_reviews(hits, order, ["cluster_id"]).first()["review_status"] == "rejected"
+
+
+def test_commands(spark, corpus, tmp_path, capsys):
+    def run(*arguments):
+        code = cli.main(spark, ["--corpus", corpus.root, *arguments])
+        return code, capsys.readouterr().out.strip()
+
+    code, key = run("query", "--name", "Player One", "--alias", "playerone")
+    assert code == 0 and corpus.read("hits").count() == 2
+    assert run("review", "1", key, "confirmed", "--note", "<b>")[0] == 0
+    assert run("report", "--out", str(tmp_path / "out"), "--clusters")[0] == 0
+    page = (tmp_path / "out" / "index.html").read_text()
+    assert "&lt;b&gt;" in page and page.index("Player One") < page.index("PlayerOne")
+    assert spark.read.json(str(tmp_path / "out" / "text_clusters.jsonl")).count() == 3
+    assert run("totals")[1] == '{"videos": 2, "video_scans": 3, "text_clusters": 3, "hits": 2}'
+    assert run("prune") == (0, "0") and run("delete-source", "a")[0] == 0 and run("query")[0] == 2
+    (tmp_path / "c.yaml").write_text("query: {target_name: PlayerOne}")
+    assert run("--config", str(tmp_path / "c.yaml"), "query")[0] == 0
+
+
+def test_detectors_are_checked(spark):
+    frames = spark.createDataFrame([("f1", "a"), ("f2", "b"), ("f3", "c")], "frame_id string, content string")
+    box = [(0, 0), (1, 0), (1, 1), (0, 1)]
+    found = detection.detected(frames, detection.scripted({"a": [("i", box, 0.5), ("j", box, 0.6)], "c": [("i", box, 0.7)]}), 2)
+    assert sorted((r["frame_id"], r["identity"], r["confidence"]) for r in found.collect()) == [("f1", "i", 0.5), ("f1", "j", 0.6), ("f3", "i", 0.7)]
+    with pytest.raises(RuntimeError, match="2 frames were given, 0"):
+        detection.checked(["a", "b"], [])
+    with pytest.raises(RuntimeError, match="share an identity"):
+        detection.checked(["a"], [[("i", box, 1.0), ("i", box, 0.5)]])
+    sizes = spark.sparkContext.accumulator(0)
+
+    def read(crops):
+        sizes.add(len(crops) == 2)
+        return [(c.upper(), 0.9) for c in crops]
+
+    texts = detection.recognized(frames.coalesce(1), read, 2)
+    assert sorted((r["frame_id"], r["raw_text"]) for r in texts.collect()) == [("f1", "A"), ("f2", "B"), ("f3", "C")] and sizes.value == 1
+    with pytest.raises(Exception, match="texts came back"):
+        detection.recognized(frames, lambda crops: [], 2).collect()
+
+
+def test_frames_are_accounted_for(spark):
+    proposals = spark.createDataFrame([("f",)] * 5 + [("g",)], "frame_id string")
+    suppressed = spark.createDataFrame([("f", 1, 1)], "frame_id string, duplicates long, dropped long")
+    kept = spark.createDataFrame([("f", "ab"), ("f", "")], "frame_id string, raw_text string")
+    rows = {r["frame_id"]: tuple(r)[1:] for r in detection.frame_accounting(proposals, suppressed, kept, F.length("raw_text") > 0).collect()}
+    assert rows == {"f": (5, 1, 1, 2, 1), "g": (1, 0, 0, 0, 0)}
