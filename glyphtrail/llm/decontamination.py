@@ -9,8 +9,10 @@ Candidates: SimHash fingerprints of word windows. The window's size comes from t
 to 2/5 of its words, 16 at most. Every such window of an item is indexed, and the documents' windows are taken at a
 stride of a quarter. Any passage of that similarity has so few edits that some untouched run holds a window of the
 stride, which equals an indexed one; beyond that, all windows within a Hamming distance of ``RADIUS`` are found, since
-fingerprints at that distance agree in one of RADIUS + 1 blocks of bits, each a table of its own. Candidates that share a
-shingle with their item are verified exactly around their place.
+fingerprints at that distance agree in one of RADIUS + 1 blocks of bits, each a table of its own. (A window as long as its
+item would differ in about four bits for each word that was edited, beyond any radius that blocks of 64 bits can serve.)
+Candidates that share a shingle with their item are verified exactly, at every start that leaves enough of the item for the
+similarity: what is inserted or deleted before the window moves the start by at most the item's share that may be missing.
 
 The benchmark is indexed in blocks of at most ``BLOCK_WORDS`` words, each a broadcast of a bounded size and a pass over
 the documents; no text is shuffled, so copies and hot sources do not matter. Every whole text is read, in slices.
@@ -32,10 +34,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import free_name, hash_words, row_key, shingle_hashes, slices, table, utf8_views
+from .common import free_name, hash_words, materialize, row_key, shingle_hashes, slices, table, utf8_views
 
-SHINGLE, SIMILARITY, RADIUS, SLACK = 5, 0.75, 3, 2
+SHINGLE, SIMILARITY, RADIUS = 5, 0.75, 3
 BLOCK_WORDS = 1 << 20
 #: Text bytes whose windows are fingerprinted at once: their bit counts stay in the cache.
 CHUNK = 1 << 18
@@ -74,13 +77,13 @@ class Index:
     windows: dict[int, tuple] = field(default_factory=dict)
 
 
-def build(items: list[tuple]) -> Index:
-    """An index of (item_id, text) rows."""
+def build(items: list[tuple], held: dict[int, int] | None = None, whole: int | None = None) -> Index:
+    """An index of (item_id, text) rows; ``held``, ``whole``: how many items of the whole benchmark hold each of their shingles, and its items, if these are a part."""
     words, at, _ = hash_words(*utf8_views(pc.utf8_lower(pa.array([t for _, t in items], pa.string()))))
     shingles, sh_at = shingle_hashes(words, at, SHINGLE)
     grams = [Counter(shingles[a:b].tolist()) for a, b in zip(sh_at, sh_at[1:])]
-    held = Counter(g for c in grams for g in c)
-    n = max(1, len(items))
+    held = Counter(g for c in grams for g in c) if held is None else held
+    n = max(1, len(items) if whole is None else whole)
     out = Index([i for i, _ in items], np.diff(at), grams, {g: math.log(1 + n / k) for g, k in held.items()}, math.log(1 + n), np.unique(shingles))
     places: dict[int, list] = {}
     for k, size in enumerate(out.sizes):
@@ -164,7 +167,8 @@ def find(index: Index, raw: np.ndarray, offsets: np.ndarray, least: float = SIMI
     tried: set[tuple[int, int, int]] = set()
     for t, k, start in candidates(index, words, at, shingles, sh_at).tolist():
         n, have = int(index.sizes[k]), int(at[t + 1] - at[t])
-        for s in range(max(0, start - SLACK), start + SLACK + 1):
+        slack = max(2, math.ceil((1 - least) * n))
+        for s in range(max(0, start - slack), start + slack + 1):
             if s >= have or (t, k, s) in tried:
                 continue
             tried.add((t, k, s))
@@ -178,6 +182,24 @@ def find(index: Index, raw: np.ndarray, offsets: np.ndarray, least: float = SIMI
     return [(t, k, s, -v) for (t, k), (v, s) in sorted(best.items())]
 
 
+def shingles_of(items: DataFrame) -> DataFrame:
+    """g: the distinct shingles of each item, repeated for each that holds them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, at, _ = hash_words(*utf8_views(pc.utf8_lower(b.column(0))))
+            g, sh_at = shingle_hashes(words, at, SHINGLE)
+            own = [np.unique(g[a:b]) for a, b in zip(sh_at, sh_at[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))], ["g"])
+
+    return items.select("text").mapInArrow(run, "g long")
+
+
+def frequencies(items: DataFrame) -> DataFrame:
+    """g, n: how many items hold each shingle."""
+    return shingles_of(items).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity: each document (doc_id, text) and item (item_id, text) that it holds."""
     spark = docs.sparkSession
@@ -187,10 +209,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) ->
     kinds = {"doc_id": docs.schema["doc_id"].dataType.simpleString(), "item_id": items.schema["item_id"].dataType.simpleString()}
     schema = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, start_word long, n_words long, similarity double"
     texts = docs.select("doc_id", F.col("text").cast("string"))
-    out = None
+    out, held, whole = None, None, None
+    if blocks > 1:
+        held, whole = materialize(frequencies(items), "shingles"), items.count()
+    item_type = to_arrow_type(items.schema["item_id"].dataType)
+    block = lambda c: F.pmod(F.xxhash64(*c), F.lit(blocks))
     for i in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
-        shared = spark.sparkContext.broadcast(build([(r["item_id"], r["text"]) for r in own.toLocalIterator()]))
+        rows = [(r["item_id"], r["text"]) for r in items.filter(block(["item_id", "text"]) == i).toLocalIterator()]
+        known = None if held is None else {r["g"] & (1 << 64) - 1: r["n"] for r in held.join(shingles_of(items.filter(block(["item_id", "text"]) == i)).select("g").distinct(), "g").toLocalIterator()}
+        shared = spark.sparkContext.broadcast(build(rows, known, whole))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -201,17 +228,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) ->
                     rows += [(lo + t, k, s, v) for t, k, s, v in find(index, raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], least)]
                 t, k, s, v = zip(*rows) if rows else [[]] * 4
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(t, pa.int64())), pa.array([index.item_ids[x] for x in k], ITEM[0]), pa.array(s, pa.int64()), pa.array([int(index.sizes[x]) for x in k], pa.int64()), pa.array(v, pa.float64())],
+                    [b.column(0).take(pa.array(t, pa.int64())), pa.array([index.item_ids[x] for x in k], item_type), pa.array(s, pa.int64()), pa.array([int(index.sizes[x]) for x in k], pa.int64()), pa.array(v, pa.float64())],
                     ["doc_id", "item_id", "start_word", "n_words", "similarity"],
                 )
 
-        ITEM = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds["item_id"]]]
         part = texts.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds. Edge cases: see :mod:`decontamination`."""
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

@@ -23,6 +23,7 @@ an empty table gives an empty result. Memory is bounded by an Arrow batch, and a
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,6 +41,8 @@ STEPS = 2 * BLOCK
 WIDTH = 2048
 #: Members of a band value that meet in one group of a join.
 MEMBERS = 2000
+#: Text of a range of documents that one task walks.
+PART_BYTES = 64 << 20
 
 
 @lru_cache(maxsize=1)
@@ -134,16 +137,26 @@ def code_points(text: str | None) -> np.ndarray:
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """doc_id, text, _part, _guest: rows dealt into ranges of doc_id, sorted; each range ends with guests, the first of the next range.
 
-    One shuffle of the text. The cuts are ``parts`` - 1 doc_ids; the rows at a cut, and the first document of all for
-    the last range, are sent to two ranges.
+    One shuffle of the text. The cuts are ``parts`` - 1 doc_ids (0: as many as keep a range below PART_BYTES); the rows at a cut, and
+    the first document of all for the last range, are sent to two ranges. A row finds its range in two steps of about the root of the
+    number of cuts.
     """
     doc_id, text = docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit(""))
     rows = docs.select(doc_id.alias("doc_id"), text.alias("text"))
-    q = rows.agg(F.min("doc_id").alias("first"), F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("cuts") if parts > 1 else F.array().alias("cuts")).first()
+    least = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or max(least, math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / PART_BYTES))
+    q = rows.agg(F.min("doc_id").alias("first"), F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(10_000, 4 * parts)).alias("cuts") if parts > 1 else F.array().alias("cuts")).first()
     first, cuts = q["first"], sorted(set(q["cuts"] or []) - {q["first"]})
     # A cut is a doc_id that exists; the rows from it on are a range.
-    part = F.lit(0) if not cuts else F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("doc_id")))
-    at_cut = F.col("doc_id").isin(cuts) if cuts else F.lit(False)
+    part, at_cut = F.lit(0), F.lit(False)
+    if cuts:
+        step = math.isqrt(len(cuts)) + 1
+        groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+        below = lambda values: F.size(F.filter(values, lambda c: c <= F.col("doc_id")))
+        literals = lambda values: F.array(*[F.lit(c) for c in values])
+        group = F.greatest(below(literals([g[0] for g in groups])), F.lit(1))
+        part = (group - 1) * step + below(F.element_at(F.array(*[literals(g) for g in groups]), group))
+        at_cut = (part > 0) & (F.element_at(literals(cuts), F.greatest(part, F.lit(1))) == F.col("doc_id"))
     has_null = F.col("doc_id").isNull()
     rows = rows.withColumn("_part", F.when(has_null, F.lit(0)).otherwise(part).cast("int"))
     to = F.when(F.coalesce(at_cut, F.lit(False)), F.array(F.struct(F.col("_part").alias("p"), F.lit(0).alias("g")), F.struct((F.col("_part") - 1).alias("p"), F.lit(1).alias("g"))))
@@ -152,13 +165,11 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     own = F.array(F.struct(F.col("_part").alias("p"), F.lit(0).alias("g")))
     rows = rows.withColumn("_to", F.explode(F.concat(F.coalesce(to, own), F.when(is_first, F.array(F.struct(F.lit(len(cuts)).alias("p"), F.lit(2).alias("g")))).otherwise(F.array().cast("array<struct<p:int,g:int>>")))))
     rows = rows.select("doc_id", "text", F.col("_to.p").alias("_part"), F.col("_to.g").alias("_guest"))
-    return rows.repartition(parts, "_part").sortWithinPartitions("_part", "_guest", F.col("doc_id").asc_nulls_first(), "text")
+    return rows.repartition(len(cuts) + 1, "_part").sortWithinPartitions("_part", "_guest", F.col("doc_id").asc_nulls_first(), "text")
 
 
 def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Fingerprints of every text of ``docs`` (doc_id, text) and of its edited text, whose last quarter is the next document's beginning."""
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
         for b in batches:
@@ -206,7 +217,7 @@ def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
         )
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, parts).mapInArrow(run, schema)
+    return with_next(docs, parts or 0).mapInArrow(run, schema)
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -265,4 +276,5 @@ def near_pairs(prints: DataFrame, least: float = 0.75) -> DataFrame:
 
 
 def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, its edited text's, and their likeness. Edge cases: see :mod:`fingerprints`."""
     return fingerprint_edits(table(spark, sf_dir, "documents"))

@@ -59,6 +59,7 @@ _NOT_ROLES = frozenset("navigation banner contentinfo complementary search dialo
 _NOT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu navbar nav navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login comment comments respond replies disqus share sharing social related recommended recommendations widget pagination pager toolbar skip".split()
 )
+_NUMBER = re.compile(r"\d{3,}")
 _WORDS = re.compile(r"[a-z]+|\d+")
 
 
@@ -79,7 +80,9 @@ def _element(tag: str, attrs: str, parent: Node) -> Node:
     out = parent.out or tag in _NOT_CONTENT or (tag == "header" and not inside) or given.get("role") in _NOT_ROLES
     if not out and given and tag not in ("html", "body", "article", "main"):
         out = bool(tokens & _NOT_NAMES) or ("header" in tokens and not inside) or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
-    return Node(tag, f"{tag}.{names[0]}" if names else f"{tag}#{given['id']}" if given.get("id") else tag, parent, out, inside)
+    # Long numbers tell pages apart, not slots: post-1123 and post-1124 are one, col-4 and col-8 are not.
+    label = f"{tag}.{names[0]}" if names else f"{tag}#{given['id']}" if given.get("id") else tag
+    return Node(tag, _NUMBER.sub("0", label.replace("/", "_")) if label != tag else tag, parent, out, inside)
 
 
 def parse(source: str | None) -> Node:
@@ -239,6 +242,8 @@ def induce(rows: pd.DataFrame) -> pd.DataFrame:
         x[0], x[1], x[2] = x[0] + n, max(x[1], top), x[2] + chars
     pages = rows.loc[rows["kind"] == "s", "n"].sum()
     constant = {p for p, (n, top, _) in sums.items() if n >= max(CONSTANT_PAGES, CONSTANT_OF_HOST * pages) and top >= CONSTANT_SHARE * n}
+    # The headline of pages that have no article element may be the same on all.
+    constant = {p for p in constant if _tag(p.rsplit("/", 1)[-1]) != "h1"}
     constant = {p for p in constant if _named(p.rsplit("/", 1)[-1]) or not any(_tag(x) in ("article", "main") for x in p.split("/"))}
     mass: dict[str, int] = defaultdict(int)
     for p, (_, _, chars) in sums.items():
@@ -359,4 +364,5 @@ def extract(pages: DataFrame, wrapper_bytes: int = WRAPPER_BYTES) -> DataFrame:
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text. Edge cases: see :mod:`html`."""
     return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

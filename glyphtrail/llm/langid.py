@@ -97,7 +97,8 @@ def train(labelled: DataFrame, per_language: int = TRAIN_DOCS) -> tuple[list[str
     number = {k: i for i, k in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        """k (language and column in one number), n: the counts of a partition's texts, of those that occur."""
+        sums = np.zeros(len(langs) * BUCKETS, np.int64)
         for b in batches:
             raw, offsets = utf8_views(b.column(0))
             of = np.array([number[x] for x in b.column(1).to_pylist()], np.int64)
@@ -107,15 +108,15 @@ def train(labelled: DataFrame, per_language: int = TRAIN_DOCS) -> tuple[list[str
                 for order, col in ngram_columns(points):
                     n = len(col)
                     ok = np.arange(n) < np.repeat(_whole(order, at, n), np.diff(at))[:n]
-                    for k in np.unique(of[lo:hi]):
-                        part = np.bincount(col[ok & (owner[:n] == k)], minlength=BUCKETS)
-                        sums[k] = sums.get(k, 0) + part
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype(np.int64).tobytes() for v in sums.values()], pa.binary())], ["k", "counts"])
-
-    counts = np.zeros((len(langs), BUCKETS), np.int64)
-    # At most 16 rows a language of BUCKETS counts reach the driver.
-    for r in sample.coalesce(16).mapInArrow(count, "k int, counts binary").toLocalIterator():
-        counts[r["k"]] += np.frombuffer(r["counts"], np.int64)
+                    sums += np.bincount((owner[:n] * BUCKETS + col)[ok], minlength=len(sums))
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["k", "n"])
+
+    # The sums are shuffled by column, so that training scans as many partitions at once as there are; BUCKETS rows a language reach the driver.
+    found = sample.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(langs) * BUCKETS, np.int64)
+    counts[found.column("k").to_numpy()] = found.column("n").to_numpy()
+    counts = counts.reshape(len(langs), BUCKETS)
     p = counts + SMOOTHING
     return langs, np.ascontiguousarray(np.log(p / p.sum(axis=1, keepdims=True)).T.astype(np.float32))
 
@@ -162,6 +163,7 @@ def remainder(doc_id: str, modulus: int) -> Column:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language. Edge cases: see :mod:`langid`."""
     docs = table(spark, sf_dir, "documents")
     labelled = docs.filter((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     out = predict(docs, *train(labelled.select("doc_id", "text", "lang")))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .decontamination import op3_decontamination
 from .fingerprints import op10_edit_fingerprints
 from .html import op4_main_text
@@ -33,4 +34,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+#: Scores, extraction and tokenization are beyond SQL; the tests hold those queries against brute force.
+ORACLES: dict[str, str] = {
+    "op2_interleaved_shards": oracles.SHARDING,
+    "op5_repeated_substrings": oracles.SUBSTRINGS,
+    "op6_near_duplicates": oracles.NEAR_DUPLICATES,
+}

@@ -47,5 +47,6 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, stratum:
 
 
 def op2_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in a shard and slot under law `rows`. Edge cases: see :mod:`sharding`."""
     placed = interleave(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.substring("stratum", 2, 1 << 30).alias("source"), "fraction")

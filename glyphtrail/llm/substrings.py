@@ -400,6 +400,7 @@ def cuts(docs: DataFrame) -> DataFrame:
 
 
 def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses and keeps. Edge cases: see :mod:`substrings`."""
     docs = keyed(table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     changed = cuts(docs).select("rid", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha"))
     rows = docs.select("doc_id", "rid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))

@@ -336,6 +336,7 @@ def draw_sample(docs: DataFrame, labels: DataFrame, column: str) -> list[tuple[s
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from the labels that are not held out. Edge cases: see :mod:`toxicity`."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(draw_sample(docs, labels.filter(remainder("doc_id", 3) != 1), "toxic"))
     return score(docs, model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from glyphtrail.llm import decontamination, fingerprints, html, langid, neardup, packing, quality, sharding, substrings, toxicity
+from glyphtrail.llm import decontamination, fingerprints, html, langid, neardup, packing, quality, registry, sharding, substrings, toxicity
 from glyphtrail.llm.common import hash_words
 from glyphtrail.llm.components import components, extended
 
@@ -108,6 +108,57 @@ def test_bin_completion():
     assert sum(n for _, n in packing.bin_completion({60: 10, 40: 10}, 100)) == 10
 
 
+def fewest_bins(pieces, capacity):
+    """The optimum, over all subsets of pieces: bins used and the fullest state of the last one."""
+    best = {0: (0, capacity)}
+    for mask in range(1, 1 << len(pieces)):
+        found = (len(pieces) + 1, 0)
+        for i, x in enumerate(pieces):
+            if mask >> i & 1:
+                bins, used = best[mask ^ 1 << i]
+                found = min(found, (bins, used + x) if used + x <= capacity else (bins + 1, x))
+        best[mask] = found
+    return best[(1 << len(pieces)) - 1][0]
+
+
+def test_bin_completion_is_optimal_for_few_pieces():
+    r = random.Random(8)
+    better = 0
+    for _ in range(150):
+        pieces = [r.choice((r.randint(15, 60), r.randint(25, 40))) for _ in range(r.randint(6, 11))]
+        counts = dict(collections.Counter(pieces))
+        found = packing.bin_completion(counts, 100)
+        assert sum(n for _, n in found) == fewest_bins(pieces, 100)
+        assert collections.Counter(x for f, n in found for x in f * n) == collections.Counter(pieces)
+        better += sum(n for _, n in found) < sum(n for _, n in packing.best_fit_decreasing(counts, 100))
+    assert better >= 3
+
+
+def test_bin_completion_backtracks_on_histograms():
+    r = random.Random(9)
+    for _ in range(10):
+        counts = {x: r.randint(1, 30) for x in r.sample(range(20, 70), 12)}
+        found = packing.bin_completion(counts, 100, 20_000)
+        held = collections.Counter()
+        for f, n in found:
+            assert sum(f) <= 100
+            for x in f:
+                held[x] += n
+        assert held == counts and sum(n for _, n in found) <= sum(n for _, n in packing.best_fit_decreasing(counts, 100))
+
+
+def test_plain_texts_are_encoded_alike():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    exact, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder()
+    plain = [c for c in map(chr, range(0x2100)) if packing._PLAIN.fullmatch(c)]
+    r = random.Random(2)
+    samples = [c for c in plain] + [f"a{c}b {c}{c} 1{c}2" for c in plain] + ["".join(r.choice(plain) for _ in range(40)) for _ in range(300)]
+    for t in samples:
+        assert encode(t).tolist() == exact.encode(t, add_special_tokens=False).ids, t
+
+
 def test_fingerprints(spark, odd, none):
     docs = odd.filter("doc_id is not null").dropDuplicates(["doc_id"])
     for parts in (1, 3):
@@ -122,6 +173,10 @@ def test_fingerprints(spark, odd, none):
         assert rows[7]["near_edited"] > 0.6 > rows[7]["near_next"]
     assert fingerprints.fingerprint_edits(odd, 3).count() == 11
     assert fingerprints.fingerprint_edits(none, 2).count() == 0
+    many = spark.createDataFrame([(i * 7, f"text {i}") for i in range(90)], "doc_id long, text string")
+    for parts in (0, 40, 90):
+        shas = {x["doc_id"]: x["edited_sha256"] for x in fingerprints.fingerprint_edits(many, parts).collect()}
+        assert all(shas[i * 7] == hashlib.sha256((f"text {i}"[: len(f"text {i}") - 1] + "t").encode()).hexdigest() for i in range(90))
     links = {(r["first"], r["doc_id"]) for r in fingerprints.near_pairs(fingerprints.fingerprint(docs)).collect()}
     assert (4, 5) in links and not any(7 in p for p in links)
 
@@ -334,13 +389,54 @@ def test_decontamination(spark, odd, none):
     assert decontamination.matches(odd, spark.createDataFrame([], bench.schema)).count() == 0
 
 
+def test_contamination_matches_a_search_of_all_starts():
+    r = random.Random(31)
+    items = [(i, text(700 + i, r.randint(6, 90))) for i in range(14)]
+    index = decontamination.build(items)
+    docs = []
+    for _ in range(100):
+        w = r.choice(items)[1].split()
+        for _ in range(r.randint(0, 1 + len(w) // 20)):
+            at, kind = r.randrange(len(w)), r.randrange(3)
+            if kind == 0:
+                w[at] = r.choice(WORDS)
+            elif kind == 1:
+                w[at:at] = [r.choice(WORDS) for _ in range(r.randint(1, 4))]
+            else:
+                del w[at : at + r.randint(1, 3)]
+        docs.append(" ".join([*text(r.random(), r.randint(0, 30)).split(), *w, *text(r.random(), r.randint(0, 30)).split()]))
+    raws = [d.encode() for d in docs]
+    found = {(t, k): v for t, k, _, v in decontamination.find(index, np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)]))}
+    want = {}
+    for t, raw in enumerate(raws):
+        words, at, _ = hash_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        for k, n in enumerate(index.sizes):
+            for s in range(len(words)):
+                own = words[s : s + n]
+                v = decontamination.similarity(index, k, decontamination.shingle_hashes(own, np.array([0, len(own)]))[0])
+                if v >= decontamination.SIMILARITY:
+                    want[t, k] = max(v, want.get((t, k), 0))
+    assert len(want) > 40
+    missed = [x for x in want if x not in found]
+    assert not missed and not [x for x in found if x not in want]
+    assert all(found[x] == pytest.approx(v) for x, v in want.items())
+
+
+def test_items_may_have_ids_of_any_type(spark):
+    item = text(260, 20)
+    for kind in ("string", "int", "decimal(10,0)", "date"):
+        bench = spark.createDataFrame([("2020", item)], "item_id string, text string").select(F.col("item_id").cast(kind).alias("item_id"), "text")
+        assert decontamination.matches(frame(spark, [item]), bench).count() == 1
+
+
 def test_decontamination_in_blocks_is_the_same(spark, monkeypatch):
     items = [text(400 + i, 20 + i) for i in range(9)]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     docs = frame(spark, [f"{text(500, 20)} {t}" for t in items])
+    docs = docs.unionByName(frame(spark, [f"{items[5]} {items[6]}", " ".join(items[8].split()[:20] + ["x"] + items[8].split()[20:])], 20))
     whole = sorted(map(tuple, decontamination.matches(docs, bench).collect()))
     monkeypatch.setattr(decontamination, "BLOCK_WORDS", 60)
-    assert sorted(map(tuple, decontamination.matches(docs, bench).collect())) == whole and len(whole) == 9
+    assert sorted(map(tuple, decontamination.matches(docs, bench).collect())) == whole and len(whole) == 11
 
 
 PAGE = "<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a='</p>';</script></head><body><header>Site</header><nav><a href=x>Menu</a></nav>{}<div class='comments'><p>Nice!</p></div><form>Mail <input></form><footer>&copy; x</footer></body></html>"
@@ -368,6 +464,22 @@ def test_copies_and_rare_slots_are_not_template(spark):
     assert all(got[100 + i] == f"Title {i}\nOnly {i}" + ("\nSaid before\nx = 1" if i < 6 else "") for i in range(40))
 
 
+def test_the_wrapper_tells_template_from_text_without_names(spark):
+    page = "<html><body><div class=q7><p>All rights to us</p></div><div id=k{0}><h1>Weekly report</h1><p>Text of {0}</p><div class=post-{0}><p>More of {0} and {1}</p></div></div><div class=q9><span>There</span></div></body></html>"
+    pages = [(i, "http://plain/p", page.format(1000 + i, i * 7)) for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Weekly report\nText of {1000 + i}\nMore of {1000 + i} and {i * 7}" for i in range(30))
+    alone = html.main_text(html.parse(pages[3][2]), frozenset(), frozenset())
+    assert alone.startswith("All rights to us") and alone.endswith("There")
+
+
+def test_equal_headlines_and_pages_stay(spark):
+    page = "<html><body><nav>Menu</nav><article><h1>Weekly report</h1><p>{}</p></article></body></html>"
+    pages = [(i, "http://a/p", page.format("Same")) for i in range(6)] + [(10 + i, "http://b/p", page.format(f"Body {i}")) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "Weekly report\nSame" and got[10 + i] == f"Weekly report\nBody {i}" for i in range(6))
+
+
 def test_tree_matching():
     a, b = html.tree_of("body\nbody/div.x\nbody/div.x/p\nbody/ul"), html.tree_of("body\nbody/div.y\nbody/div.y/p\nbody/div.y/h1")
     assert html.match(a, b)[0] == 3
@@ -550,6 +662,64 @@ def test_keep_good_decides_by_row(spark, tmp_path, odd, none):
     assert quality.keep_good(spark, none, str(tmp_path)).count() == 0
 
 
+CONTRACTS = {
+    "op1_quality": {"doc_id": "bigint", "perplexity": "double", "threshold": "double", "keep": "boolean"},
+    "op2_interleaved_shards": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
+    "op3_decontamination": {"doc_id": "bigint", "item_id": "bigint", "similarity": "double"},
+    "op4_main_text": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
+    "op5_repeated_substrings": {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"},
+    "op6_near_duplicates": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"},
+    "op7_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op8_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op9_packed_sequences": {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+    "op10_edit_fingerprints": {"doc_id": "bigint", "n_chars": "bigint", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"},
+}
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    at = tmp_path_factory.mktemp("tables")
+    r = random.Random(12)
+    shared = text(8100, 45)
+    texts = [text(8200 + i, 30 + i % 50) for i in range(60)] + [f"{text(8300 + i, 20)} {shared}" for i in range(5)] + [text(8200, 30)] * 3 + ["", " ", "ÄÖ ü " * 3]
+    near = text(8205, 35).split()
+    texts += [" ".join([*near[:j], "zzz", *near[j + 1 :]]) for j in (3, 34)]
+    rows = [(i, t, r.choice(("en", "de")), r.choice(("a", "a", "b")), len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(at / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 9 > 0), int(i % 7 == 0)) for i in range(50)], "doc_id long, quality int, toxic int").write.parquet(str(at / "labels.parquet"))
+    spark.createDataFrame([(0, " ".join(texts[9].split()[5:30]))], "item_id long, text string").write.parquet(str(at / "benchmark.parquet"))
+    spark.createDataFrame([(i, f"http://h{i % 2}/p", f"<article><h1>T {i}</h1><p>Body {i}</p></article>") for i in range(9)], "page_id long, url string, html string").write.parquet(str(at / "pages.parquet"))
+    return str(at)
+
+
+@pytest.mark.parametrize("name", list(CONTRACTS))
+def test_registered_queries_keep_their_contract(spark, tables, name):
+    import duckdb
+
+    out = registry.QUERIES[name](spark, tables)
+    kinds = dict(out.dtypes)
+    assert {c: kinds.get(c) for c in CONTRACTS[name]} == CONTRACTS[name]
+    rows = [tuple(r[c] for c in sorted(out.columns)) for r in out.collect()]
+    if name != "op3_decontamination":
+        assert {r[sorted(out.columns).index("page_id" if name == "op4_main_text" else "doc_id")] for r in rows} == set(range(9 if name == "op4_main_text" else 73))
+    if name in registry.ORACLES:
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tables}/documents.parquet/*.parquet'")
+        found = con.execute(registry.ORACLES[name])
+        names = [c[0] for c in found.description]
+        assert sorted(names) == sorted(out.columns)
+        want = [tuple(r[names.index(c)] for c in sorted(names)) for r in found.fetchall()]
+        assert Counter(map(repr, rows)) == Counter(map(repr, want))
+
+
+def test_held_out_languages(spark):
+    held = [(10_000 + i, text(20_000 + i, 60).replace("a", "ä") if i % 2 else text(20_000 + i, 60), "de" if i % 2 else "en") for i in range(200)]
+    docs = spark.createDataFrame([(i, t, k) for i, t, k in held], "doc_id long, text string, lang string")
+    model = langid.train(docs.filter("doc_id % 4 <> 2"))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs.filter("doc_id % 4 = 2"), *model).collect()}
+    assert len(got) == 50 and sum(got[i] == k for i, _, k in held if i in got) >= 49
+
+
 def test_pipeline_stages_keep_the_columns(spark, tmp_path):
     import corpus_pipeline
 
