@@ -40,9 +40,9 @@ from .langid import decode_utf8
 
 ORDER, BITS, LATIN = 5, 10, 0x250
 #: Text of a chunk, text that a task packs at once, n-grams of a shard, and most shards.
-CHUNK_BYTES, PACK_BYTES, SHARE, MOST_SHARDS = 8 << 20, 6 << 20, 1 << 21, 4096
+CHUNK_BYTES, PACK_BYTES, SHARE, MOST_SHARDS = 8 << 20, 4 << 20, 1 << 19, 4096
 #: Text of a chunk that is worked on at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 HELD_OUT, QUANTILE, PRIOR, LEAST_HELD = 5, 0.99, 100.0, 20
 
 
@@ -129,12 +129,16 @@ class Chunk:
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct n-grams and how often the training documents hold them."""
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, counts, waiting = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for lo, hi, k, at in self.slices():
             own, where = np.unique(k, return_inverse=True)
-            mine = np.bincount(where[np.repeat(self.trains[lo:hi], np.diff(at))], minlength=len(own))
-            keys, counts = merged([keys, own], [counts, mine])
-        return keys, counts
+            keys.append(own)
+            counts.append(np.bincount(where[np.repeat(self.trains[lo:hi], np.diff(at))], minlength=len(own)))
+            waiting += len(own)
+            if waiting > len(keys[0]) + SHARE:
+                both = merged(keys, counts)
+                keys, counts, waiting = [both[0]], [both[1]], 0
+        return merged(keys, counts)
 
     def losses(self, keys: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters and -log P of each text, given log P of the sorted ``keys``."""
