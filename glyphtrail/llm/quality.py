@@ -40,7 +40,7 @@ from .langid import decode_utf8
 
 ORDER, BITS, LATIN = 5, 10, 0x250
 #: Text of a chunk, text that a task packs at once, n-grams of a shard, and most shards.
-CHUNK_BYTES, PACK_BYTES, SHARE, MOST_SHARDS = 8 << 20, 4 << 20, 1 << 19, 4096
+CHUNK_BYTES, PACK_BYTES, SHARE, MOST_SHARDS = 16 << 20, 8 << 20, 1 << 19, 4096
 #: Text of a chunk that is worked on at once.
 SLICE = 1 << 18
 HELD_OUT, QUANTILE, PRIOR, LEAST_HELD = 5, 0.99, 100.0, 20
@@ -227,7 +227,7 @@ def score(docs: DataFrame, trusted: DataFrame, carried: list[str]) -> DataFrame
     kinds = {c: docs.schema[c].dataType.simpleString() for c in carried}
     ids = trusted.select(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(chunks)).alias("chunk"), F.col("doc_id").cast(kinds["doc_id"]).alias("id"), "held")
     rows = packed(docs, chunks, carried)
-    number = max(1, min(MOST_SHARDS, math.ceil(size / 30 / SHARE)))  # a chunk's distinct n-grams are about a thirtieth of its characters
+    number = max(1, min(MOST_SHARDS, math.ceil(size / 50 / SHARE)))  # a chunk's distinct n-grams are about a fiftieth of its characters
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["chunk", "shard", "keys", "counts"]
