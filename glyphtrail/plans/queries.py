@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import text as x
 from ..operators import catalog, evaluation, maintenance, matching, metrics, reports, retention, selection, tracks
+from ..sources import files
 from ..streaming import ingest, tracking
 
 ALIASES = ["thering", "oneble", "the stand"]
@@ -658,3 +659,90 @@ def cluster_texts(spark, d):
 def commit_batches(spark, d):
     rows = _events(spark, d).groupBy("user_id", "s").agg(F.sum(F.length("event_type")).alias("size"))
     return selection.commit_points(rows, "user_id", "s", "size", span=86400.0, most_rows=5, most_bytes=40)
+
+
+@query("SELECT event_id, value - coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS delta FROM events")
+def batch_deltas(spark, d):
+    return metrics.batch_deltas(_t(spark, d, "events"), "user_id", "event_id", "value").select("event_id", "delta")
+
+
+@query("SELECT o_orderstatus, round(sum(o_custkey) / sum(o_totalprice)::DOUBLE, 12) AS per_second, round(avg(o_totalprice), 6) AS mean_s, median(o_totalprice)::DOUBLE AS median_s FROM orders GROUP BY 1")
+def throughput(spark, d):
+    rows = metrics.throughput(_t(spark, d, "orders"), "o_orderstatus", "o_custkey", "o_totalprice")
+    return rows.withColumn("per_second", F.round("per_second", 12)).withColumn("mean_s", F.round("mean_s", 6))
+
+
+@query("SELECT CASE WHEN count(c_acctbal) = count(*) THEN sum(c_custkey) / sum(c_custkey * 2.0::DOUBLE) END AS rate FROM customer")
+def hourly_rate(spark, d):
+    return evaluation.rates(_t(spark, d, "customer").select("c_custkey", (F.col("c_custkey") * 2.0).alias("hours")), "c_custkey", "hours")
+
+
+@query("SELECT a.r_name = b.r_name AS same_r_name, a.r_regionkey % 1 = b.r_regionkey % 1 AS same_kind, b.r_regionkey - a.r_regionkey AS delta_r_regionkey FROM region a, region b WHERE a.r_regionkey = 0 AND b.r_regionkey = 3")
+def run_comparison(spark, d):
+    r = _t(spark, d, "region")
+    rows = r.select(F.col("r_regionkey").cast("string").alias("label"), "r_name", (F.col("r_regionkey") % 1).alias("kind"), "r_regionkey")
+    return metrics.compare_runs(rows, "0", "3", ["r_name", "kind"], ["r_regionkey"])
+
+
+@query("SELECT c_custkey, c_nationkey, n_name AS c_nationkey_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND c_nationkey <> 0")
+def named_users(spark, d):
+    users = _t(spark, d, "nation").filter("n_nationkey <> 0").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return files.named(_t(spark, d, "customer").select("c_custkey", "c_nationkey"), users, "c_nationkey").select("c_custkey", "c_nationkey", "c_nationkey_name")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 90 < ceil(n_chars / 100.0 * 2 - 1e-9) - 1")
+def short_reads(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", (F.col("doc_id") % 90).alias("decoded"), F.lit(0.0).alias("s"), (F.col("n_chars") / 100.0).alias("e"))
+    return selection.short_reads(rows, "decoded", "s", "e", 2.0).select("doc_id")
+
+
+@query(
+    """SELECT event_id, value >= 20 - 1e-8 AND value < 80 - 1e-8 AS owned, greatest(0.0, floor((greatest(10.0, coalesce(value, 10.0)) - 3) * 2) / 2)::DOUBLE AS restart, least(30.0, 2.0 * pow(2.0, event_id % 7))::DOUBLE AS pause,
+CASE WHEN value > 30 THEN value END AS usable FROM events"""
+)
+def chunk_arithmetic(spark, d):
+    v = F.col("value")
+    odd = F.when(v > 30, v).when(v > 20, F.lit(float("inf"))).when(v > 10, F.lit(float("nan"))).otherwise(-v)
+    return _t(spark, d, "events").select(
+        "event_id", selection.owned(v, F.lit(20.0), F.lit(80.0)).alias("owned"), selection.restart_offset(F.lit(10.0), v, 3.0, 2.0).cast("double").alias("restart"),
+        selection.backoff(F.col("event_id") % 7).alias("pause"), catalog.usable_duration(odd).alias("usable"),
+    )
+
+
+@query(
+    f"""SELECT identity, x0 >= 0 AND x1 <= 2 AND y0 >= 0 AND y1 <= 2 AND y1 - y0 >= 0.6 AND (identity % 10) / 10.0 BETWEEN 0.3 AND 1 AS keep FROM {_BOXES}"""
+)
+def acceptable_boxes(spark, d):
+    q = g.box(*[F.col(c) for c in ("x0", "y0", "x1", "y1")])
+    return _boxes(spark, d).select("identity", retention.acceptable(q, F.col("identity") % 10 / 10.0, F.lit(2.0), F.lit(2.0), 0.6, 0.3).alias("keep"))
+
+
+@query(f"WITH {_VERSIONS} SELECT * FROM o WHERE user_id NOT IN (SELECT user_id FROM n) UNION ALL SELECT * FROM n")
+def replaced_rows(spark, d):
+    return maintenance.replace_rows(_version(spark, d, "click"), _version(spark, d, "view"), ["user_id"])
+
+
+@query("SELECT doc_id, i::INT AS tick, 5 + i / 2.0::DOUBLE AS timestamp_s, printf('%.9f', 5 + i / 2.0::DOUBLE) AS sample_key FROM documents, LATERAL (SELECT unnest(range(greatest(0, ceil((n_chars / 50.0 - 5) * 2 - 1e-9))::INT)) AS i)")
+def sample_ticks(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", F.lit(5.0).alias("s"), (F.col("n_chars") / 50.0).alias("e"))
+    return selection.sample_grid(rows, "s", "e", 2.0).select("doc_id", "tick", "timestamp_s", "sample_key")
+
+
+@query("SELECT l_orderkey, l_linenumber, abs(l_linenumber - (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1) / 2.0)::DOUBLE AS drift FROM lineitem QUALIFY drift > 1e-8")
+def grid_drift(spark, d):
+    return metrics.grid_drift(_t(spark, d, "lineitem"), "l_orderkey", "l_linenumber", 2.0).select("l_orderkey", "l_linenumber", F.col("drift").cast("double").alias("drift"))
+
+
+@query("SELECT doc_id AS id, source AS title FROM documents")
+def safe_fields(spark, d):
+    return catalog.safe_metadata(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text", "lang"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN n IS NULL THEN 1 ELSE 2 END AS depth FROM (SELECT o_orderkey, NULL AS n FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT l_orderkey * 10 + l_linenumber, 1 FROM lineitem WHERE l_orderkey % 2 = 1)")
+def nested_entries(spark, d):
+    leaf = "struct<id:bigint,entries:array<struct<id:bigint>>>"
+    lines = _t(spark, d, "lineitem").filter("l_orderkey % 2 = 1").groupBy("l_orderkey").agg(F.collect_list(F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))).alias("entries"))
+    one = F.struct(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 1, F.col("entries")).alias("entries"))
+    rows = _t(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").filter("o_orderkey % 2 = 0 OR entries IS NOT NULL")
+    rows = rows.select(F.lit(0).cast("long").alias("id"), F.array(one).cast(f"array<{leaf}>").alias("entries"))
+    return catalog.expand_entries(rows, "entries").select("id", "depth")
