@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import materialize
+
 
 def gap_sessions(rows: DataFrame, keys: list[str], time: str, gap: float, order: list[str] | None = None) -> DataFrame:
     """Adds session_no from 0: a new one where the time since the row before exceeds ``gap``; equality stays."""
@@ -49,8 +51,12 @@ def support(scored: DataFrame, keys: list[str], weak: float) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
-    """Adds each row's place from 1 in an order of all rows. The rows are ranged by Spark's sort and numbered by their ranges' counts, never in one task."""
+    """Adds each row's place from 1 in an order of all rows. The rows are ranged by Spark's sort and numbered by their ranges' counts, never in one task.
+
+    The ranges are written once and read twice: Spark samples their bounds, so ranges that are computed again can be other ranges.
+    """
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    ranged = materialize(ranged, "numbered")
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")

@@ -1,7 +1,9 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from glyphtrail.operators import catalog, evaluation, maintenance, metrics, selection, tracks
+from glyphtrail.plans import queries
 from glyphtrail.sources.corpus import Corpus
 from glyphtrail.sources.files import html_report, read_manifest
 
@@ -50,6 +52,40 @@ def test_sessions_aggregates_and_digests(spark):
     assert one == many
 
 
+@pytest.fixture
+def several_ranges(spark):
+    """Few rows stay in several ranges, as many rows do."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_places_of_more_rows_than_a_range_samples(spark, several_ranges):
+    rows = spark.range(40000).select((F.col("id") * 7919 % 40009).alias("key"), (F.col("id") % 7).alias("best"), F.col("id").cast("string").alias("text"))
+    got = tracks.numbered(rows, [F.col("best").desc(), "key"], "place").select("best", "key", "text", "place").collect()
+    want = sorted(((i % 7, i * 7919 % 40009, str(i)) for i in range(40000)), key=lambda r: (-r[0], r[1]))
+    assert sorted(map(tuple, got), key=lambda r: r[3]) == [(*r, n) for n, r in enumerate(want, 1)]
+    ties = tracks.numbered(rows.select(F.lit(1).alias("best"), "text"), ["best"], "place").collect()
+    assert sorted(r["place"] for r in ties) == list(range(1, 40001)) and len({r["text"] for r in ties}) == 40000
+    assert tracks.numbered(rows.filter("key < 0"), ["key"], "place").collect() == []
+
+
+def test_hit_report_is_its_sql_on_many_rows(spark, several_ranges, tmp_path):
+    tables = {
+        "orders": "SELECT i AS o_orderkey, i * 31 % 1000 AS o_custkey, CASE WHEN i % 5 = 0 THEN 'O' ELSE 'F' END AS o_orderstatus, (i * 7919 % 20011) / 4.0 AS o_totalprice FROM range(50000) r(i)",
+        "customer": "SELECT i AS c_custkey, 'c' || i AS c_name, (i % 25)::INT AS c_nationkey FROM range(990) r(i)",
+        "nation": "SELECT i::INT AS n_nationkey, 'n' || i AS n_name, (i % 5)::INT AS n_regionkey FROM range(25) r(i)",
+        "region": "SELECT i::INT AS r_regionkey, 'r' || i AS r_name FROM range(5) r(i)",
+    }
+    con = duckdb.connect()
+    for name, sql in tables.items():
+        con.execute(f"CREATE TABLE {name} AS {sql}")
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet'")
+    want = con.execute(queries.ORACLES["hit_report"]).fetchall()
+    rows = queries.QUERIES["hit_report"](spark, str(tmp_path)).select("cluster_id", "c_custkey", "title", "best_score", "place").collect()
+    assert sorted(map(tuple, rows)) == sorted(want)
+
+
 def test_metrics_over_nothing_are_null(spark):
     rows = spark.createDataFrame([("g", 0.1)], "g string, s double")
     r = evaluation.threshold_metrics(rows, ["g"], "s", F.lit(False), (0.5,)).first()
